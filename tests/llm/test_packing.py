@@ -74,5 +74,5 @@ def test_neighbours_share_words():
     docs = [np.array(x) for x in ([1, 2, 3, 9], [4, 5, 6, 9], [1, 2, 7, 9], [4, 5, 8, 9], [10, 11], [1, 3, 12])]
     index = packing.Bm25(docs)
     unused = np.array([False, True, True, True, True, True])
-    assert index.neighbours(0, unused)[:2].tolist() == [5, 2]
+    assert set(index.neighbours(0, unused)[:2].tolist()) == {2, 5}  # 1 and 2, 1 and 3; the others share 9 at most
     assert sorted(packing.order_shard(docs, [600] * 6, 2048)) == list(range(6))
