@@ -171,7 +171,7 @@ def secret_digest(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     Repeated rows and equal texts under different ids are scanned once and returned as often as they occur.
     """
     rank = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.kind, i)))
-    findings = scan_versions(docs, RULES, ledger, "doc_id").select("blob_id", F.struct("start", rank["kind"].alias("rank"), "kind", "end").alias("f"))
+    findings = scan_versions(docs, RULES, ledger, "doc_id").select("blob_id", F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end").alias("f"))
     spans = F.array_sort(F.collect_list("f"))
     joined = lambda x: F.array_join(F.transform(x, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     by_blob = findings.groupBy("blob_id").agg(spans.alias("f"), *(F.count(F.when(F.col("f.kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in BASE))
