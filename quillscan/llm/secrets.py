@@ -176,7 +176,8 @@ def secret_digest(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     joined = lambda x: F.array_join(F.transform(x, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     by_blob = findings.groupBy("blob_id").agg(spans.alias("f"), *(F.count(F.when(F.col("f.kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in BASE))
     by_blob = by_blob.select("blob_id", *(f"n_{r.kind}" for r in BASE), F.sha2(joined(F.filter("f", lambda f: f["rank"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("f")).alias("spans"))
-    rows = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id")).join(by_blob, "blob_id", "left")
+    # a table: then both sides of the join are plain exchanges, and the rows of a hot blob can be split among tasks
+    rows = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id")).join(stored(by_blob), "blob_id", "left")
     return rows.select(
         "doc_id",
         *(F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE),
