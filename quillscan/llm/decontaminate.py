@@ -15,7 +15,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.session import broadcast_if_small, stored
+from quillscan.session import broadcast_if_small, fresh, stored
 
 WINDOW = 8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -97,13 +97,13 @@ def proximity_matches(index: DataFrame, terms: list[str], distance: int) -> Data
     return left
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated.
+def hits_by_document(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, whole_windows: bool = False) -> DataFrame:
+    """Of documents with an occurrence: doc2, h2 (their id and the hash of their text), n_hit, n_items, items_sha256.
 
-    Null has no words. Repeated rows are counted as often as they occur and returned as often. An empty benchmark hits
-    nothing.
+    ``whole_windows``: items of fewer than ``size`` words are left out.
     """
-    windows = stored(windows_of(benchmark, size))
+    windows = windows_of(benchmark, size)
+    windows = stored(windows.where(F.size("words") == size) if whole_windows else windows)
     counts = stored(term_counts(docs, windows.select(F.explode("words").alias("term")).distinct()))
     windows = stored(anchored(windows, counts))
     anchors = windows.select(F.col("t1").alias("term"), F.lit(True).alias("rarest")).union(windows.select("t2", F.lit(False)))
@@ -112,7 +112,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     spans = F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
     per_doc = matches.groupBy(F.col("doc_id").alias("doc2"), F.col("h").alias("h2")).agg(spans.alias("spans"), F.collect_set("items").alias("items"))
     items = F.array_sort(F.array_distinct(F.flatten("items")))
-    per_doc = per_doc.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    return per_doc.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, h, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null has no words. Repeated rows are counted as often as they occur and returned as often. An empty benchmark hits
+    nothing.
+    """
+    per_doc = hits_by_document(docs, benchmark, size)
     rows = _keyed(docs).select("doc_id", "h", F.size("words").cast("long").alias("n_words"))
     zero = F.lit(0).cast("long")
     return rows.join(per_doc, F.expr("doc_id <=> doc2 AND h = h2"), "left").select(
@@ -121,6 +130,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     )
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without those that hold ``size`` consecutive words of a benchmark item; items of fewer words leak nothing."""
+    leaks = stored(hits_by_document(docs, benchmark, size, whole_windows=True).select("doc2", "h2"))
+    of, h = (fresh(x, docs.columns) for x in ("leak_id", "leak_hash"))
+    leaks = leaks.toDF(of, h)
+    same = docs["doc_id"].eqNullSafe(leaks[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks[h])
+    return docs.join(leaks, same, "left_anti")
+
+
 def oracle_sql(size: int = WINDOW) -> str:
     """DuckDB SQL for the rows of ``contamination`` without h."""
     words = f"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

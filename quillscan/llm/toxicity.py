@@ -59,8 +59,8 @@ class Chain:
 
 
 def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    if not len(p) or not y.any():
-        return 0.5
+    if not y.any():  # nothing to learn what is toxic from: nothing is
+        return 1.0
     order = np.argsort(-p, kind="stable")
     hits = np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
