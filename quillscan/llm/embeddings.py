@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.components import components
+from quillscan.llm.kernels import sorted_groups
 from quillscan.session import broadcast_if_small, stored
 
 COSINE = 0.93
@@ -143,25 +144,6 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[other]], nodes[other]
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of equal first column, from rows that are sorted by it."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        key = batch.column(0).to_numpy()
-        if held and len(key) and held[-1].column(0)[-1].as_py() != key[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        last = 0
-        for cut in np.flatnonzero(key[1:] != key[:-1]) + 1:
-            held.append(batch.slice(last, cut - last))
-            yield pa.Table.from_batches(held)
-            held, last = [], cut
-        if last < batch.num_rows:
-            held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy().astype(np.float64).reshape(len(flat), -1)
@@ -173,7 +155,7 @@ def _unit(raw: np.ndarray) -> np.ndarray:
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """chunk, uid, cell, vector -> the same, local (row in the chunk) and centres (of its nodes, by level)."""
-    for t in _groups(batches):
+    for t in sorted_groups(batches):
         t = t.combine_chunks()
         centres = cover_tree(_unit(_matrix(t.column("vector"))))
         n = len(centres)
@@ -185,7 +167,7 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """task, side, uid, vector, local, centres -> counts (uid, n) and edges (uid, other)."""
 
-    for t in _groups(batches):
+    for t in sorted_groups(batches):
         side = t.column("side").to_numpy()
         parts = []
         for s in (0, 1) if (side != 2).any() else (2, 2):

@@ -130,3 +130,22 @@ def list_array(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa
     """An Arrow list column of the given row lengths."""
     ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of equal first column, from rows that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        if held and len(key) and held[-1].column(0)[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        last = 0
+        for cut in np.flatnonzero(key[1:] != key[:-1]) + 1:
+            held.append(batch.slice(last, cut - last))
+            yield pa.Table.from_batches(held)
+            held, last = [], cut
+        if last < batch.num_rows:
+            held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

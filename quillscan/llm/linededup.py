@@ -61,11 +61,15 @@ def recurring(docs: DataFrame) -> DataFrame:
     tokens = keyed.select("doc_id", "h", "at", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
     n, key = F.size("tokens"), F.xxhash64("tokens")
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
-    places = stored(tokens.select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), n.alias("n")))
+    # lines are parsed once; the tokens' hashes lie in a column of their own, which only the comparison below reads
+    words = F.when(n >= SHORT, F.transform("tokens", lambda t: F.hash(t)))
+    places = stored(tokens.select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), n.alias("n"), words.alias("words")))
 
     distinct = places.where(F.col("n") >= SHORT).groupBy("leaf", "line").agg(F.count("*").alias("times"))
     crowded = distinct.groupBy(F.col("leaf").alias("of")).agg(F.count("*").alias("lines")).where("lines > 1").select("of")
-    once = tokens.where(n >= SHORT).select(leaf.alias("leaf"), key.alias("line"), F.transform("tokens", lambda t: F.hash(t)).alias("words"))
+    once = places.where(F.col("n") >= SHORT).select("leaf", "line", "words")
+    # a table: then both sides of the join are plain exchanges, and a hot leaf's rows can be split among tasks
+    crowded = stored(crowded)
     crowd = stored(once.join(crowded, F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
     labels = components(template_links(crowd)).withColumnRenamed("node", "of")
 

@@ -6,9 +6,10 @@ set keeps the earliest dart of each coordinate. Only ranks below a bound that fa
 so a long text costs little more than one hash per shingle. Two sets agree in a coordinate with a probability equal to their
 weighted Jaccard similarity. Bands of R coordinates make buckets; what shares a bucket is a candidate.
 
-Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest member; where that
-leaves a bucket in several components, only pairs from different components whose signatures agree enough are compared
-(in blocks, so that a large bucket is dealt to many tasks). Every comparison that decides is exact.
+Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest member. Where that
+leaves a bucket in several components, its members are compared inside tasks (in pairs of blocks, so that a large
+bucket is dealt to many), only across components and only where signatures agree enough, and a task passes on a spanning
+forest of the links it finds. Every comparison that decides is exact.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillscan.llm.components import components
-from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, shingle_cells, uniform
-from quillscan.session import stored
+from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, shingle_cells, sorted_groups, uniform
+from quillscan.session import fresh, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair at 0.8 shares no bucket with probability 3e-5, one at 0.9 with 2e-9.
@@ -71,26 +73,20 @@ def dart_signatures(cells: np.ndarray, rows: np.ndarray, n: int, k: int = K) ->
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, node, text -> doc_id, node, bands, signature (two bytes a coordinate); texts without words are left out."""
+    """node, text -> node, bands; texts without words are left out."""
     for batch in batches:
-        data, offsets = buffers(batch.column(2))
+        data, offsets = buffers(batch.column(1))
         for i, j in chunks(offsets):
             cells, rows = shingle_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
-            sig = dart_signatures(cells, rows, j - i)
             good = np.flatnonzero(np.bincount(rows, minlength=j - i))
             if not len(good):
                 continue
-            sig = sig[good]
+            sig = dart_signatures(cells, rows, j - i)[good]
             band = np.zeros((len(good), BANDS), U)
             for r in range(ROWS):
                 band = mix(band * U(0x9E3779B97F4A7C15) + sig[:, r::ROWS])
             band = mix(band + np.arange(BANDS, dtype=U) * U(0xC2B2AE3D27D4EB4F)).view(np.int64)
-            short = (sig >> U(48)).astype("<u2")
-            take = pa.array(good + i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), list_array(band.reshape(-1), np.full(len(good), BANDS), pa.int64()), pa.array([x.tobytes() for x in short], pa.binary())],
-                ["doc_id", "node", "bands", "signature"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good + i)), list_array(band.reshape(-1), np.full(len(good), BANDS), pa.int64())], ["node", "bands"])
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,49 +97,67 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(cells, np.bincount(rows, minlength=j - i), pa.int64())], ["node", "cells"])
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, side, node, label, leader, signature), sorted by block: pairs of different labels whose signatures
-    agree in enough coordinates, without those of the bucket's leader, which are known. Side 2 stands on both sides."""
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, signature (two bytes a coordinate), short (four sorted bytes a cell)."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        for i, j in chunks(offsets):
+            cells, rows = shingle_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
+            sig = (dart_signatures(cells, rows, j - i) >> U(48)).astype("<u2")
+            short = (cells.view(U) >> U(32)).astype("<u4")
+            cuts = np.searchsorted(rows, np.arange(1, j - i))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([np.sort(x).tobytes() for x in np.split(short, cuts)], pa.binary())],
+                ["node", "signature", "short"],
+            )
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, side, node, label, signature, short), sorted by block -> links (a, b) across labels, as a forest.
+
+    Sides 0 and 1 are two blocks of a bucket, 2 a block against itself. Similarity is taken from four-byte hashes, and
+    what may reach 0.8 is passed on for the exact comparison.
+    """
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
-        side, node, label, leader = (t.column(c).to_numpy() for c in ("side", "node", "label", "leader"))
+        side, node, label = (t.column(c).to_numpy() for c in ("side", "node", "label"))
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, K)
-        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = a[node[a] != leader[a]], b[node[b] != leader[b]]
+        short = [np.frombuffer(x, "<u4") for x in t.column("short").to_pylist()]
+        size = np.array([len(x) for x in short])
+        _, root = np.unique(label, return_inverse=True)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         pairs = []
-        for i in a:
-            j = b[(label[b] != label[i]) & ((side[b] == 1) | (node[b] > node[i]))]
-            j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE * K] if len(j) else j
-            pairs += [(min(node[i], node[x]), max(node[i], node[x])) for x in j]
+        for i in left:
+            j = right[(root[right] != root[i])]
+            if len(j):
+                # sizes bound the similarity: the smaller over the larger
+                j = j[np.minimum(size[j], size[i]) >= (SIMILARITY - 0.01) * np.maximum(size[j], size[i])]
+                j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE * K]
+            while len(j):
+                part, j = j[:256], j[256:]
+                flat, at = np.concatenate([short[x] for x in part]), np.cumsum(size[part]) - size[part]
+                place = np.minimum(np.searchsorted(short[i], flat), size[i] - 1)
+                common = np.add.reduceat(short[i][place] == flat, at)
+                for x in part[common >= (SIMILARITY - 0.01) * (size[i] + size[part] - common)]:
+                    if root[x] != root[i]:
+                        pairs.append((min(node[i], node[x]), max(node[i], node[x])))
+                        root[root == root[x]] = root[i]
+                j = j[root[j] != root[i]]
         if pairs:
             x, y = zip(*pairs)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
         return None
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        block = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(block[1:] != block[:-1]) + 1
-        if held and len(block) and held[-1].column(0)[-1].as_py() != block[0]:
-            cuts = np.concatenate(([0], cuts))
-        last = 0
-        for cut in cuts:
-            held.append(batch.slice(last, cut - last))
-            if out := compare(pa.Table.from_batches(held)):
-                yield out
-            held, last = [], cut
-        if last < batch.num_rows:
-            held.append(batch.slice(last))
-    if held and (out := compare(pa.Table.from_batches(held))):
-        yield out
+    for t in sorted_groups(batches):
+        if out := compare(t):
+            yield out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least 0.8, from ``texts`` (doc_id, node, text, rep)."""
+    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least 0.8, by ``texts`` (node, text)."""
     pairs = stored(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("want")).distinct()
-    cells = texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select("node", "text").mapInArrow(_cells, "node long, cells array<long>")
-    cells = stored(cells)
+    cells = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select("node", "text").mapInArrow(_cells, "node long, cells array<long>"))
     left, right = (cells.select(F.col("node").alias(f"node_{x}"), F.col("cells").alias(f"cells_{x}")) for x in "ab")
     joined = pairs.join(left, F.col("a") == F.col("node_a")).join(right, F.col("b") == F.col("node_b"))
     common = F.size(F.array_intersect("cells_a", "cells_b"))
@@ -153,29 +167,31 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (doc_id, node: 64 bits of the text) of all rows, and (node, label): components of near copies by node."""
     nodes = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-    # one row of each text goes on: only ids are grouped for that
-    first = nodes.groupBy(F.col("node").alias("of")).agg(F.min("doc_id").alias("first"))
-    texts = nodes.join(first, F.expr("node = of AND doc_id <=> first"), "left_semi")
-    signed = stored(texts.mapInArrow(_sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>, signature binary"))
-    members = signed.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    # copies sign alike, and what groups them below counts each node once: no text moves here
+    signed = nodes.select("node", "text").mapInArrow(_sign, "node long, bands array<long>")
+    members = stored(signed.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct())
     buckets = members.groupBy(F.col("bucket").alias("of")).agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
     shared = stored(members.join(buckets, F.col("bucket") == F.col("of")).select("bucket", "node", "leader"))
+
+    # one row of each text that shares a bucket: the only time that texts move
+    first = nodes.groupBy(F.col("node").alias("of")).agg(F.min("doc_id").alias("first"))
+    first = first.join(shared.select("node").distinct(), F.col("of") == F.col("node"), "left_semi")
+    texts = stored(nodes.join(first, F.expr("node = of AND doc_id <=> first"), "left_semi").select("node", "text"))
     edges = stored(_verified(shared.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), texts))
     labels = components(edges)
 
-    # buckets that still hold several components, and members other than the leader that may be linked with each other
-    placed = shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", "leader", F.coalesce("label", "node").alias("label"))
-    placed = stored(placed.distinct())
-    others = placed.where("node <> leader").groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-    open_ = placed.where("node <> leader").join(others, F.col("bucket") == F.col("of")).select("bucket", "node", "leader", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    dealt = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    # buckets that still hold several components
+    placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
+    open_ = placed.groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
+    open_ = placed.join(open_, F.col("bucket") == F.col("of")).select("bucket", "node", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = stored(open_.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(F.xxhash64("bucket", low, high).alias("block"), side.alias("side"), "node", "label", "leader")
-    signatures = signed.select(F.col("node").alias("of"), "signature").dropDuplicates(["of"])
-    dealt = dealt.join(signatures, F.col("node") == F.col("of")).select("block", "side", "node", "label", "leader", "signature")
-    more = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_cross_pairs, "a long, b long").distinct())
+    dealt = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "node", "label")
+    wanted = open_.select(F.col("node").alias("want")).distinct()
+    sketches = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select(F.col("node"), "text").mapInArrow(_sketch, "node long, signature binary, short binary").withColumnRenamed("node", "of"))
+    dealt = dealt.join(sketches, F.col("node") == F.col("of")).select("block", "side", "node", "label", "signature", "short")
+    more = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct())
     if more.limit(1).count():
         labels = components(edges.union(_verified(more, texts)))
     return nodes.select("doc_id", "node"), labels
@@ -193,3 +209,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = stored(nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", F.coalesce("label", "node").alias("label")))
     classes = stored(placed.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("class_id")))
     return placed.join(classes, F.col("label") == F.col("of")).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: that with the smallest doc_id (null ids last; of repeated rows any one)."""
+    nodes, labels = links(docs)
+    placed = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    rows = placed.groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
+    best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("best")).select("best.doc_id", "best.node", "best.n")
+    of, node, n = (fresh(x, docs.columns) for x in ("best_id", "best_node", "best_n"))
+    best = stored(best.toDF(of, node, n))
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+    def kept(chosen: DataFrame) -> DataFrame:
+        return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[of]) & (hashed == chosen[node]), "left_semi")
+
+    repeated = best.where(best[n] > 1)
+    once = kept(best.where(best[n] == 1))
+    if not repeated.limit(1).count():
+        return once
+    # rows that repeat an id and its text may differ in other columns: one of them, by all columns' hash
+    some = kept(repeated)
+    rank, h = fresh("rank", docs.columns), F.xxhash64(*(docs[c] for c in docs.columns))
+    text = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return once.union(some.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(h))).where(f"{rank} = 1").drop(rank))
