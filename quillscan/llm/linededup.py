@@ -24,7 +24,7 @@ DEPTH, SAME, MIN_DOCS = 3, 0.8, 2
 #: Lines of fewer tokens recur by chance: they are templates as they are, dropped from this many documents on.
 SHORT, MIN_DOCS_SHORT = 5, 10
 _FIELD = "<*>"
-_SPACE = r"[\x09-\x0D\x20\x85\xA0]+"
+_BLANK = r"\x09-\x0D\x20\x85\xA0"
 
 
 def _lines(text: Column) -> Column:
@@ -33,8 +33,9 @@ def _lines(text: Column) -> Column:
 
 def masked_tokens(line: Column) -> Column:
     """The tokens of a line, those with a digit replaced by a field mark."""
-    tokens = F.array_remove(F.split(line, _SPACE, -1), "")
-    return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(_FIELD)).otherwise(t))).otherwise(tokens)
+    # tried at the starts of tokens only, without backtracking: a long token costs no more than its length
+    masked = F.regexp_replace(line, rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+", _FIELD)
+    return F.array_remove(F.split(F.when(line.rlike("[0-9]"), masked).otherwise(line), rf"[{_BLANK}]+", -1), "")
 
 
 def _block_keys() -> Column:
@@ -45,7 +46,7 @@ def _block_keys() -> Column:
 
 
 def template_links(crowd: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one template, from distinct ``crowd`` (leaf, line: hash, words: hashes of its tokens)."""
+    """Pairs (a, b) of lines of one template, from distinct ``crowd`` (leaf, line: hash, words: 16-bit hashes of its tokens)."""
     keys = stored(crowd.select("line", F.explode(_block_keys()).alias("key")))
     leaders = keys.groupBy(F.col("key").alias("of")).agg(F.min("line").alias("leader"), F.max("line").alias("last")).where("leader < last")
     pairs = keys.join(leaders, F.col("key") == F.col("of")).where("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
@@ -58,19 +59,19 @@ def template_links(crowd: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame) -> DataFrame:
     """Lines to drop of the rows of ``docs`` (doc_id, text): doc_id, h (of the text), drop: their places, from 0."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    tokens = keyed.select("doc_id", "h", "at", masked_tokens(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    keyed = keyed.where(F.col("line").rlike(rf"[^{_BLANK}]"))
+    tokens = keyed.select("doc_id", "h", "at", masked_tokens(F.col("line")).alias("tokens"))
     n, key = F.size("tokens"), F.xxhash64("tokens")
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
     # lines are parsed once; the tokens' hashes lie in a column of their own, which only the comparison below reads
-    words = F.when(n >= SHORT, F.transform("tokens", lambda t: F.hash(t)))
+    words = F.when(n >= SHORT, F.transform("tokens", lambda t: F.shiftright(F.hash(t), 16).cast("short")))
     places = stored(tokens.select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), n.alias("n"), words.alias("words")))
 
-    distinct = places.where(F.col("n") >= SHORT).groupBy("leaf", "line").agg(F.count("*").alias("times"))
-    crowded = distinct.groupBy(F.col("leaf").alias("of")).agg(F.count("*").alias("lines")).where("lines > 1").select("of")
+    crowded = places.where(F.col("n") >= SHORT).groupBy(F.col("leaf").alias("of")).agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("of")
     once = places.where(F.col("n") >= SHORT).select("leaf", "line", "words")
     # a table: then both sides of the join are plain exchanges, and a hot leaf's rows can be split among tasks
     crowded = stored(crowded)
-    crowd = stored(once.join(crowded, F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
+    crowd = stored(once.join(crowded.hint("merge"), F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
     labels = components(template_links(crowd)).withColumnRenamed("node", "of")
 
     templated = places.join(labels, F.col("line") == F.col("of"), "left").select("doc_id", "h", "at", F.coalesce("label", "line").alias("template"), "n")
@@ -97,11 +98,12 @@ def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_d
     match = docs["doc_id"].eqNullSafe(dropped[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dropped[h])
     joined = docs.join(dropped, match, "left")
     lines, text = _lines(docs["text"]), docs["text"]
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped[drop])
+    n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
+    left = F.array_except(F.sequence(F.lit(0), n - 1), dropped[drop])
     kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
     return joined.select(
         *(F.when(dropped[drop].isNull(), text).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns),
-        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines),
+        F.when(text.isNull(), 0).otherwise(n).cast("long").alias(n_lines),
         F.coalesce(F.size(dropped[drop]), F.lit(0)).cast("long").alias(n_dropped),
     )
 
