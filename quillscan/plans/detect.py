@@ -1,8 +1,9 @@
 """The detection plan: gates, match generation, secrets, filters, locations, relations and suppression.
 
-Rules are data: an array literal of their keywords, paths and patterns, indexed by the rule's number, so a fragment is
-exploded only into the rules whose cheap gates it passes, and the regular expression is a column. The one shuffle of the
-core plan is by (fragment, rule), of matches only; relations and suppression are equi-joins by fragment.
+Rules are literals of the plan: a fragment passes a rule's cheap gates before its regular expression (compiled once a
+task) is tried, and is exploded only into the rules that match it. Up to the findings nothing is shuffled, and the text
+goes no further than that; relations and suppression are equi-joins by fragment of the stored findings, so that the text is
+scanned once.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillscan.functions import text as T
 from quillscan.functions.dialect import to_java
 from quillscan.rules import Allowlist, Rule, RuleSet, allowed_by, joined
+from quillscan.session import stored
 
 FRAGMENT = {"fragment_id": "long", "file_path": "string", "commit": "string", "start_line": "int", "content": "string", "author": "string", "email": "string", "date": "string", "message": "string"}
 
@@ -100,23 +101,32 @@ def path_findings(frags: DataFrame, rules: RuleSet) -> DataFrame:
     return rows.select(*frags.columns, F.col("r.id").alias("rule_id"), F.col("r.description").alias("description"), F.concat(F.lit("file detected: "), "file_path").alias("match"))
 
 
+def content_rules(rules: RuleSet) -> list[Rule]:
+    """The rules with a regex; if there are none, one that matches nothing."""
+    return [r for r in rules.rules if r.regex] or [Rule("none", regex=r"\z\A.")]
+
+
 def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
     """Whole matches of every content rule whose gates open: fragment columns, rule_no, start (untrimmed), match (trimmed
     of line feeds), secret, match_start, match_end, secret_start, secret_end."""
-    content = [r for r in rules.rules if r.regex]
+    content = content_rules(rules)
     if allow := [_gate_allows(a) for a in rules.allowlists if a.commits or a.paths]:
         frags = frags.where(~_named(allow))
     lowered = frags.withColumn("low", F.lower("content"))
-    open_ = F.filter(F.array(*(F.when(_gate(r, options), F.lit(k)) for k, r in enumerate(content))), lambda x: x.isNotNull())
+    open_ = F.filter(F.array(*(F.when(_gate(r, options) & F.col("content").rlike(r.java), F.lit(k)) for k, r in enumerate(content))), lambda x: x.isNotNull())
     hits = lowered.select(*frags.columns, F.explode(open_).alias("rule_no"))
-    pattern = F.get(F.array(*(F.lit(r.java) for r in content)), F.col("rule_no"))
-    hits = hits.withColumn("pattern", pattern).where(F.regexp_like("content", F.col("pattern")))
-    found = F.regexp_extract_all("content", F.col("pattern"), F.lit(0))
-    gaps = F.split("content", F.col("pattern"), -1)
-    parts = hits.select(*frags.columns, "rule_no", "pattern", F.posexplode(F.arrays_zip(found.alias("m"), gaps.alias("gap"))).alias("at", "part")).where(F.col("part.m").isNotNull())
-    # the gap before a match counts with it; the window holds one fragment's matches of one rule
-    end = F.sum(F.octet_length("part.gap") + F.octet_length("part.m")).over(Window.partitionBy("fragment_id", "rule_no").orderBy("at"))
-    rows = parts.withColumn("whole", F.col("part.m")).withColumn("start", end - F.octet_length("part.m")).drop("part", "at")
+    hits = hits.withColumn("pattern", F.get(F.array(*(F.lit(r.java) for r in content)), F.col("rule_no")))
+    # a match ends where all gaps and matches up to it end
+    parts = F.arrays_zip(F.regexp_extract_all("content", F.col("pattern"), F.lit(0)).alias("m"), F.split("content", F.col("pattern"), -1).alias("gap"))
+    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<m:string,end:int>>").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = acc["end"] + F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["m"]), F.lit(0))
+        more = F.concat(acc["found"], F.array(F.struct(x["m"].alias("m"), end.alias("end"))))
+        return F.struct(end.alias("end"), F.when(x["m"].isNotNull(), more).otherwise(acc["found"]).alias("found"))
+
+    rows = hits.select(*frags.columns, "rule_no", "pattern", F.explode(F.aggregate(parts, none, step)["found"]).alias("part"))
+    rows = rows.withColumn("whole", F.col("part.m")).withColumn("start", F.col("part.end") - F.octet_length("part.m")).drop("part")
     rows = rows.withColumn("match", F.regexp_replace("whole", r"\A\n+|\n+\z", ""))
     lead = F.octet_length("whole") - F.octet_length(F.regexp_replace("whole", r"\A\n+", ""))
     rows = rows.withColumn("match_start", F.col("start") + lead).withColumn("match_end", F.col("start") + lead + F.octet_length("match"))
@@ -125,14 +135,15 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
     first = [F.when(groups >= g, F.nullif(_group(F.lit(g)), F.lit(""))) for g in range(1, max((r.groups for r in content), default=0) + 1)]
     secret = F.when(~again, F.col("match")).when(chosen > 0, _group(chosen)).otherwise(F.coalesce(*first, F.col("match")))
     rows = rows.withColumn("secret", secret)
-    offset = F.octet_length(F.element_at(F.split(F.col("match"), F.concat(F.lit(r"\Q"), F.replace("secret", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), 2), 1))
+    # where the secret stands first in its match
+    offset = F.octet_length(F.call_function("substring_index", F.col("match"), F.col("secret"), F.lit(1)))
     rows = rows.withColumn("secret_start", F.when(F.length("secret") > 0, F.col("match_start") + offset)).withColumn("secret_end", F.col("secret_start") + F.octet_length("secret"))
     return rows.drop("pattern", "whole")
 
 
 def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
     """Matches that pass entropy, allow markers and allowlists, with locations; helpers (skip_report) among them."""
-    content = [r for r in rules.rules if r.regex]
+    content = content_rules(rules)
     pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule_no"))
     rows = matches(frags, rules, options)
     rows = rows.withColumn("entropy", T.shannon_entropy(F.col("secret"))).where((pick([r.entropy for r in content]) == 0) | (F.col("entropy") > pick([r.entropy for r in content])))
@@ -145,7 +156,7 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options()) -
         rows = rows.drop("bytes_h")
     for name, column in T.location(F.col("content"), F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int"), F.col("start_line")).items():
         rows = rows.withColumn({"start_line": "first_line"}.get(name, name), column)
-    rows = rows.drop("start_line").withColumnRenamed("first_line", "start_line")
+    rows = rows.drop("start_line", "content").withColumnRenamed("first_line", "start_line")
     if options.honor_allow_markers:
         rows = rows.where(~T.has_allow_marker(F.col("line")))
     for a in rules.allowlists:
@@ -201,13 +212,7 @@ REPORT = ["fragment_id", "rule_id", "description", "start_line", "end_line", "st
 def detect(df: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
     """All findings of ``rules`` in ``df`` (see FRAGMENT; fragment_id is unique), one row each."""
     frags = fragments(df)
-    found = with_required(candidates(frags, rules, options), rules).where(~F.col("skip_report"))
-    found = without_generic(found).withColumnRenamed("file_path", "file").withColumn("entropy", F.col("entropy").cast("float"))
-    found = found.withColumn("fingerprint", T.fingerprint(F.col("file"), F.col("rule_id"), F.col("start_line"), F.col("commit")))
-    if options.redaction_percent:
-        for c in ("line", "match"):
-            found = found.withColumn(c, T.redacted(F.col(c), F.col("secret"), options.redaction_percent))
-        found = found.withColumn("secret", T.masked_secret(F.col("secret"), options.redaction_percent))
+    found = finished(candidates(frags, rules, options), rules, options)
     out = found.select(*REPORT)
     if any(r.path and not r.regex for r in rules.rules):
         by_path = path_findings(frags, rules).withColumnRenamed("file_path", "file")
@@ -217,3 +222,19 @@ def detect(df: DataFrame, rules: RuleSet, options: Options = Options()) -> DataF
         have = {c: F.col(c) for c in ("fragment_id", "rule_id", "description", "match", "file", "commit", "author", "email", "date", "message")}
         out = out.unionByName(by_path.select(*((empty | have | shaped)[f.name].cast(f.dataType).alias(f.name) for f in out.schema)))
     return out
+
+
+def finished(found: DataFrame, rules: RuleSet, options: Options) -> DataFrame:
+    """Candidates after relations, suppression, fingerprints and redaction."""
+    related = any(r.required for r in rules.rules)
+    generic = any("generic" in r.id.lower() for r in rules.rules) and len(rules.rules) > 1
+    if related or generic:  # joins of the findings with each other: of a table
+        found = stored(found)
+    found = with_required(found, rules).where(~F.col("skip_report"))
+    found = (without_generic(found) if generic else found).withColumnRenamed("file_path", "file").withColumn("entropy", F.col("entropy").cast("float"))
+    found = found.withColumn("fingerprint", T.fingerprint(F.col("file"), F.col("rule_id"), F.col("start_line"), F.col("commit")))
+    if options.redaction_percent:
+        for c in ("line", "match"):
+            found = found.withColumn(c, T.redacted(F.col(c), F.col("secret"), options.redaction_percent))
+        found = found.withColumn("secret", T.masked_secret(F.col("secret"), options.redaction_percent))
+    return found
