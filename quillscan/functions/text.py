@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 ALLOW_MARKERS = ("quillscan:allow", "gitleaks:allow")
 
 
+def _entropy(text: Column, n: Column) -> Column:
+    """The counts of characters over ``n``, summed in order of the characters; a character is counted by removing it."""
+    chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+    share = lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c) / n
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+
+
 def shannon_entropy(secret: Column) -> Column:
-    """Bits per symbol: the counts of characters over the length in bytes, summed in order of the characters."""
-    chars = F.array_sort(F.filter(F.split(secret, ""), lambda c: c != ""))
-    n = F.octet_length(secret).cast("double")
-    # a run of equal characters ends where the next one differs
-    share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
-    return F.when(F.octet_length(secret) == 0, F.lit(0.0)).otherwise(F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+    """Bits per symbol: the counts of characters over the length in bytes."""
+    return _entropy(secret, F.octet_length(secret).cast("double"))
 
 
 def byte_entropy(secret: Column) -> Column:
     """Bits per byte over a histogram of bytes."""
-    hexed = F.hex(F.encode(secret, "UTF-8"))
-    pairs = F.transform(F.sequence(F.lit(0), F.octet_length(secret) - 1), lambda i: F.substring(hexed, 1 + 2 * i, F.lit(2)))
-    n = F.octet_length(secret).cast("double")
-    share = lambda c: F.size(F.filter(pairs, lambda x: x == c)) / n
-    return F.when(F.octet_length(secret) == 0, F.lit(0.0)).otherwise(F.aggregate(F.array_sort(F.array_distinct(pairs)), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+    latin = F.decode(F.encode(secret, "UTF-8"), "ISO-8859-1")  # a character a byte
+    return _entropy(latin, F.length(latin).cast("double"))
 
 
 def fingerprint(file: Column, rule: Column, line: Column, commit: Column) -> Column:
@@ -72,10 +72,11 @@ def location(content: Column, start: Column, end: Column, first_line: Column) ->
     none = total == 0
     tail = (first >= total) & ~none  # beyond the last line feed
     crossing = ~tail & ~none & ~later
-    start_column = start - last(before) + 1
-    end_column = F.when(crossing, F.lit(0)).otherwise(end - F.when(tail | none, last(before)).otherwise(last(upto)))
+    feed = F.when(at_start, start).otherwise(last(before))  # a match's own first line feed counts as the one before it
+    start_column = start - feed + 1
+    end_column = F.when(crossing, F.lit(0)).otherwise(end - F.when(tail | none, feed).otherwise(last(upto)))
     end_line = F.when(none | tail | crossing, first).otherwise(feeds(upto))
-    line_from = F.when(tail | none, 0).otherwise(last(before))
+    line_from = F.when(tail | none, 0).otherwise(feed)
     rest = F.when(tail | none, F.element_at(F.split(after, "[\r\n]", 2), 1)).otherwise(F.substring_index(after, "\n", 1))
     line = F.concat(F.decode(F.substring(raw, line_from + 1, end - line_from), "UTF-8"), rest)
     return {

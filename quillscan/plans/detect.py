@@ -8,6 +8,7 @@ scanned once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -141,7 +142,12 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
     return rows.drop("pattern", "whole")
 
 
-def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
+def in_place(rows: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """Matches, the text that their places refer to, and where they start (with leading line feeds) and end."""
+    return rows, F.col("content"), F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int")
+
+
+def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), places: Callable[[DataFrame], tuple[DataFrame, Column, Column, Column]] = in_place) -> DataFrame:
     """Matches that pass entropy, allow markers and allowlists, with locations; helpers (skip_report) among them."""
     content = content_rules(rules)
     pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule_no"))
@@ -154,9 +160,10 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options()) -
                 kind, least = r.byte_entropy
                 rows = rows.where((F.col("rule_no") != k) | (F.col("bytes_h") >= least if kind == "lt" else F.col("bytes_h") > least))
         rows = rows.drop("bytes_h")
-    for name, column in T.location(F.col("content"), F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int"), F.col("start_line")).items():
+    rows, text, first, last = places(rows)
+    for name, column in T.location(text, first, last, F.col("start_line")).items():
         rows = rows.withColumn({"start_line": "first_line"}.get(name, name), column)
-    rows = rows.drop("start_line", "content").withColumnRenamed("first_line", "start_line")
+    rows = rows.drop("start_line", "content", "original").withColumnRenamed("first_line", "start_line")
     if options.honor_allow_markers:
         rows = rows.where(~T.has_allow_marker(F.col("line")))
     for a in rules.allowlists:
