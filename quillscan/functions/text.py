@@ -112,3 +112,40 @@ def scm_link(platform: Column, remote: Column, commit: Column, file: Column, fir
         .when(platform == "azuredevops", F.concat(remote, F.lit("/commit/"), commit, F.lit("?path=/"), path, F.when(member, "").otherwise(F.concat(F.lit("&line="), first, F.lit("&lineEnd="), last + 1, F.lit("&lineStartColumn=1&lineEndColumn=1&lineStyle=plain&_a=contents")))))
     )
     return F.when(F.length(commit) > 0, url)
+
+
+def scm_remote(remote: Column) -> tuple[Column, Column]:
+    """The platform and the web address of a Git remote: scp-like and ssh addresses become https, credentials and a final
+    ".git" go. The platform is told by the host; unknown ones are null."""
+    scp = F.regexp_extract(remote, r"^(?:[^@/:]+@)?([^/:]+):(?!/)(.+)$", 1)
+    path = F.regexp_extract(remote, r"^(?:[^@/:]+@)?([^/:]+):(?!/)(.+)$", 2)
+    web = F.when(F.length(scp) > 0, F.concat(F.lit("https://"), scp, F.lit("/"), path)).otherwise(F.regexp_replace(remote, r"^(?:ssh|git|https?)://(?:[^@/]*@)?([^/:]+)(?::\d+)?/", "https://$1/"))
+    web = F.regexp_replace(web, r"(?:\.git)?/*$", "")
+    host = F.regexp_extract(web, r"^https://([^/]+)", 1)
+    platform = F.when(host.rlike(r"(?:^|\.)github\."), "github").when(host.rlike(r"(?:^|\.)gitlab\."), "gitlab").when(host.rlike(r"(?:^|\.)(?:gitea|codeberg)\."), "gitea").when(host.rlike(r"(?:^|\.)bitbucket\."), "bitbucket").when(host.rlike(r"(?:^|\.)(?:dev\.azure|visualstudio)\."), "azuredevops")
+    return platform, web
+
+
+def without_secrets(text: Column, secrets: Column) -> Column:
+    """``text`` without any of ``secrets`` (an array), the longest first."""
+    by_length = F.array_sort(F.filter(secrets, lambda s: F.length(s) > 0), lambda a, b: F.length(b) - F.length(a))
+    return F.aggregate(by_length, text, lambda acc, s: F.replace(acc, s, F.lit("")))
+
+
+def segment_matches(secret: Column, pattern: str, most: int = 4096) -> Column:
+    """Whether the second of exactly three parts of ``secret`` (cut at dots) is base64url for text of at most ``most``
+    bytes that ``pattern`` (of java.util.regex) matches whole."""
+    part = F.get(F.split(secret, r"\."), F.lit(1))
+    standard = F.translate(part, "-_", "+/")
+    padded = F.rpad(standard, F.length(standard) + F.pmod(-F.length(standard), F.lit(4)), F.lit("="))
+    decoded = F.try_to_binary(padded, F.lit("base64"))
+    good = (F.size(F.split(secret, r"\.")) == 3) & part.rlike(r"\A[A-Za-z0-9_-]+\z") & (F.octet_length(decoded) <= most)
+    return F.coalesce(good & F.decode(decoded, "UTF-8").rlike(rf"\A(?:{pattern})\z"), F.lit(False))
+
+
+def version_at_least(version: str, least: str) -> bool:
+    """Versions of dotted numbers; a leading v, and what follows + or -, don't count."""
+    parts = lambda v: [int(x) for x in v.strip().removeprefix("v").split("+")[0].split("-")[0].split(".")]
+    a, b = parts(version), parts(least)
+    n = max(len(a), len(b))
+    return a + [0] * (n - len(a)) >= b + [0] * (n - len(b))

@@ -129,16 +129,19 @@ def to_sarif(findings: DataFrame, rules: Iterable[tuple[str, str]], name: str =
     yield "\n]}]}\n"
 
 
-def write_report(findings: DataFrame, kind: str, path: str, rules: Iterable[tuple[str, str]] = ()) -> None:
-    """Writes one file by the file system that ``path`` names: kind is json, csv, junit or sarif."""
-    parts = {"json": to_json, "csv": to_csv, "junit": to_junit}.get(kind)
-    if parts is None and kind != "sarif":
+def write_report(findings: DataFrame, kind: str, path: str, rules: Iterable[tuple[str, str]] = (), template: str = "") -> None:
+    """Writes one file by the file system that ``path`` names: kind is json, csv, junit, sarif (which lists ``rules``) or
+    template."""
+    from quillscan.operators.template import to_template
+
+    makers = {"json": to_json, "csv": to_csv, "junit": to_junit, "sarif": lambda f: to_sarif(f, rules), "template": lambda f: to_template(f, template)}
+    if kind not in makers:
         raise ValueError(f"unknown report: {kind}")
     spark = findings.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
     try:
-        for text in parts(findings) if parts else to_sarif(findings, rules):
+        for text in makers[kind](findings):
             out.write(text.encode())
     finally:
         out.close()

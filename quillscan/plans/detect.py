@@ -107,6 +107,12 @@ def content_rules(rules: RuleSet) -> list[Rule]:
     return [r for r in rules.rules if r.regex] or [Rule("none", regex=r"\z\A.")]
 
 
+def opened(frags: DataFrame, content: list[Rule], options: Options) -> DataFrame:
+    """(fragment_id, rule_no) of the rules whose cheap gates open."""
+    gates = F.array(*(F.when(_gate(r, options), F.lit(k)) for k, r in enumerate(content)))
+    return frags.withColumn("low", F.lower("content")).select("fragment_id", F.explode(F.filter(gates, lambda x: x.isNotNull())).alias("rule_no"))
+
+
 def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
     """Whole matches of every content rule whose gates open: fragment columns, rule_no, start (untrimmed), match (trimmed
     of line feeds), secret, match_start, match_end, secret_start, secret_end."""
