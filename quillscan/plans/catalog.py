@@ -5,6 +5,7 @@ Inputs that the tables don't hold (paths, commits, encodings) are made from thei
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from quillscan.session import table
 from quillscan.streaming import windowed_counts
 
 PATTERN = 'token = "([0-9a-f]{40})"'
+#: The commit that stands for one of the sources.
+COMMIT = hashlib.md5(b"src2").hexdigest()
 KEYWORDS = ("token", "password", "secret", "license", "email", "bearer")
 
 
@@ -87,7 +90,7 @@ def required_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ignore_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.detect(document_fragments(spark, sf_dir), rules())
-    entries = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.concat_ws(":", F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt")), F.lit("hex-token"), F.lit(2)).alias("entry"))
+    entries = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(9)))).select(F.concat_ws(":", F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt")), F.lit("hex-token"), "line").alias("entry"))
     return S.without_ignored(found, entries).select(*_BRIEF)
 
 
@@ -207,7 +210,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allowlist_line": _documents(_BRIEF, extra="[[rules.allowlists]]\nregexTarget = 'line'\nregexes = ['(?i)\\b(?:der|the)\\b']\n"),
     "allowlist_stopword": _documents(_BRIEF, before="[[allowlists]]\nstopwords = ['A1', 'b2']\n"),
     "allowlist_and": _documents(_BRIEF, extra=_AND),
-    "allowlist_commit": _documents(_BRIEF, before="[[allowlists]]\ncommits = ['%s']\n" % "cbf9ec0a4aefefba2b6af7a6d1fda3ac"),
+    "allowlist_commit": _documents(_BRIEF, before=f"[[allowlists]]\ncommits = ['{COMMIT.upper()}']\n"),
     "allowlist_path": _documents(_BRIEF, before="[[allowlists]]\npaths = ['^src1[0-9]/']\n"),
     "allow_marker": allow_marker,
     "fingerprints": _documents(["fragment_id", "match_start", "fingerprint"]),

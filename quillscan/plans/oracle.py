@@ -122,14 +122,14 @@ UNION ALL SELECT fid, 'hex-token', line_no, CAST(s AS INTEGER), secret FROM f"""
         "allowlist_line": _brief("NOT regexp_matches(line, '(?i)\\b(?:der|the)\\b')"),
         "allowlist_stopword": _brief("NOT contains(secret, 'a1') AND NOT contains(secret, 'b2')"),
         "allowlist_and": _brief("NOT (regexp_matches(file, '/(?:en|fr)/') AND regexp_matches(secret, '^[0-7]'))"),
-        "allowlist_commit": _brief("commit <> 'cbf9ec0a4aefefba2b6af7a6d1fda3ac'"),
+        "allowlist_commit": _brief("commit <> md5('src2')"),
         "allowlist_path": _brief("NOT regexp_matches(file, '^src1[0-9]/')"),
         "allow_marker": _brief(f"NOT contains(line, '{ALLOW_MARKERS[0]}')", source=marked),
         "fingerprints": f"WITH {_found()} SELECT fid AS fragment_id, CAST(s AS INTEGER) AS match_start, commit || ':' || file || ':hex-token:' || line_no AS fingerprint FROM f",
         "redacted_findings": f"WITH {_found()} SELECT fid AS fragment_id, CAST(s AS INTEGER) AS match_start, replace(match, secret, {masked}) AS match, {masked} AS secret, commit || ':' || file || ':hex-token:' || line_no AS fingerprint FROM f",
         "generic_suppression": generic,
         "required_proximity": f"WITH {_found()}, {_found(pattern='(' + chr(92) + 'b[A-Z][a-z]{5,}' + chr(92) + 'b)', keyword='', entropy=None, name='h')} SELECT f.fid AS fragment_id, f.line_no AS start_line, CAST(f.s AS INTEGER) AS match_start, count(*) AS n_helpers FROM f JOIN h ON f.fid = h.fid AND abs(f.line_no - h.line_no) <= 2 GROUP BY ALL",
-        "ignore_set": _brief("NOT (fid % 3 = 0 AND line_no = 2)"),
+        "ignore_set": _brief("NOT (fid % 3 = 0 AND line_no <= 9)"),
         "baseline_diff": _brief("fid % 2 = 0"),
         "presentation_groups": f"""WITH {_found()}, {_found(pattern='"([0-9a-f]{40})"', keyword='"', entropy=None, name='q')}, u AS (SELECT fid, s + 9 AS s, secret, 'hex-token' AS r FROM f UNION ALL SELECT fid, s + 1, secret, 'quoted-value' FROM q)
 SELECT fid AS fragment_id, CAST(s AS BIGINT) AS secret_start, secret, string_agg(r, ',' ORDER BY r) AS rule_ids, count(*) AS n FROM u GROUP BY fid, s, secret""",
