@@ -34,6 +34,8 @@ K = BANDS * ROWS
 AGREE = 0.65
 #: Members of a block in which a large bucket is compared.
 BLOCK = 512
+#: Cells that a task compares with at once; a longer text stands alone.
+CELLS = 1 << 20
 _STEP, _COORDINATE, _ID = 0xD1B54A32D192ED03, U(0x8CB92BA72F3D8DD7), U(0xABC98388FB8FAC03)
 
 
@@ -98,51 +100,54 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, text -> node, signature (two bytes a coordinate), short (four sorted bytes a cell)."""
+    """node, text -> node, signature (two bytes a coordinate), cells (eight bytes each, sorted)."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         for i, j in chunks(offsets):
             cells, rows = shingle_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
             sig = (dart_signatures(cells, rows, j - i) >> U(48)).astype("<u2")
-            short = (cells.view(U) >> U(32)).astype("<u4")
             cuts = np.searchsorted(rows, np.arange(1, j - i))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([np.sort(x).tobytes() for x in np.split(short, cuts)], pa.binary())],
-                ["node", "signature", "short"],
+                [batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([np.sort(x).astype("<i8").tobytes() for x in np.split(cells, cuts)], pa.binary())],
+                ["node", "signature", "cells"],
             )
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, side, node, label, signature, short), sorted by block -> links (a, b) across labels, as a forest.
+    """Rows of (block, side, node, label, signature, cells), sorted by block -> links (a, b) across labels, as a forest.
 
-    Sides 0 and 1 are two blocks of a bucket, 2 a block against itself. Similarity is taken from four-byte hashes, and
-    what may reach 0.8 is passed on for the exact comparison.
+    Sides 0 and 1 are two blocks of a bucket, 2 a block against itself. The comparison is exact, as in ``_verified``: a
+    pair is skipped only where links that hold have joined it already.
     """
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         side, node, label = (t.column(c).to_numpy() for c in ("side", "node", "label"))
         sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, K)
-        short = [np.frombuffer(x, "<u4") for x in t.column("short").to_pylist()]
-        size = np.array([len(x) for x in short])
+        cells = [np.frombuffer(x, "<i8") for x in t.column("cells").to_pylist()]
+        size = np.array([len(x) for x in cells])
         _, root = np.unique(label, return_inverse=True)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         pairs = []
-        for i in left:
-            j = right[(root[right] != root[i])]
-            if len(j):
+        ends = np.concatenate(([0], np.cumsum(size[right])))
+        for first, last in chunks(ends, CELLS):
+            part = right[first:last]
+            known, place = np.unique(np.concatenate([cells[x] for x in part]), return_inverse=True)
+            at, mark = ends[first:last] - ends[first], np.zeros(len(known), bool)
+            for i in left:
                 # sizes bound the similarity: the smaller over the larger
-                j = j[np.minimum(size[j], size[i]) >= (SIMILARITY - 0.01) * np.maximum(size[j], size[i])]
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= AGREE * K]
-            while len(j):
-                part, j = j[:256], j[256:]
-                flat, at = np.concatenate([short[x] for x in part]), np.cumsum(size[part]) - size[part]
-                place = np.minimum(np.searchsorted(short[i], flat), size[i] - 1)
-                common = np.add.reduceat(short[i][place] == flat, at)
-                for x in part[common >= (SIMILARITY - 0.01) * (size[i] + size[part] - common)]:
+                near = (root[part] != root[i]) & (np.minimum(size[part], size[i]) >= SIMILARITY * np.maximum(size[part], size[i]) - 1e-9)
+                near[near] = (sig[part[near]] == sig[i]).sum(axis=1) >= AGREE * K
+                if not near.any():
+                    continue
+                k = np.minimum(np.searchsorted(known, cells[i]), len(known) - 1)
+                k = k[known[k] == cells[i]]
+                mark[k] = True
+                common = np.add.reduceat(mark[place], at, dtype=np.int64)
+                mark[k] = False
+                for x in part[near & (common >= SIMILARITY * (size[i] + size[part] - common) - 1e-9)]:
                     if root[x] != root[i]:
                         pairs.append((min(node[i], node[x]), max(node[i], node[x])))
                         root[root == root[x]] = root[i]
-                j = j[root[j] != root[i]]
         if pairs:
             x, y = zip(*pairs)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
@@ -189,11 +194,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "node", "label")
     wanted = open_.select(F.col("node").alias("want")).distinct()
-    sketches = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select(F.col("node"), "text").mapInArrow(_sketch, "node long, signature binary, short binary").withColumnRenamed("node", "of"))
-    dealt = dealt.join(sketches, F.col("node") == F.col("of")).select("block", "side", "node", "label", "signature", "short")
+    sketches = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select(F.col("node"), "text").mapInArrow(_sketch, "node long, signature binary, cells binary").withColumnRenamed("node", "of"))
+    dealt = dealt.join(sketches, F.col("node") == F.col("of")).select("block", "side", "node", "label", "signature", "cells")
     more = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct())
     if more.limit(1).count():
-        labels = components(edges.union(_verified(more, texts)))
+        labels = components(edges.union(more))
     return nodes.select("doc_id", "node"), labels
 
 

@@ -86,3 +86,24 @@ def test_signatures_estimate_weighted_similarity():
     sig = N.dart_signatures(cells, rows, 2, k=4000)
     want = similarity(*map(shingles, texts))
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03 and (sig != 0).all()
+
+
+def test_a_pair_just_below_hides_no_link():
+    """A-B lies between 0.79 and 0.8, A-C and B-C above: all three are one class, in whatever order they are compared."""
+    import itertools
+
+    import pyarrow as pa
+
+    common = list(range(1000, 1890))
+    a = common + list(range(5000, 5110))
+    b = common + list(range(6000, 6115))
+    c = common + a[890:945] + b[890:945]
+    sets = [np.sort(np.array(x, "<i8")) for x in (a, b, c)]
+    s = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y))
+    assert 0.79 < s(sets[0], sets[1]) < 0.8 < min(s(sets[0], sets[2]), s(sets[1], sets[2]))
+    kinds = [("block", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("label", pa.int64()), ("signature", pa.binary()), ("cells", pa.binary())]
+    for order in itertools.permutations(range(3)):
+        rows = [[1] * 3, [2] * 3, list(order), list(order), [bytes(2 * N.K)] * 3, [sets[k].tobytes() for k in order]]
+        batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(rows, kinds)], [k for k, _ in kinds])
+        links = {(x, y) for out in N._compare(iter([batch])) for x, y in zip(*out.to_pydict().values())}
+        assert links == {(0, 2), (1, 2)}
