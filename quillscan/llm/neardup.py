@@ -8,8 +8,7 @@ weighted Jaccard similarity. Bands of R coordinates make buckets; what shares a
 
 Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest member. Where that
 leaves a bucket in several components, its members are compared inside tasks (in pairs of blocks, so that a large
-bucket is dealt to many), only across components and only where signatures agree enough, and a task passes on a spanning
-forest of the links it finds. Every comparison that decides is exact.
+bucket is dealt to many), only across components, and a task passes on a spanning forest of the links it finds. Every comparison that decides is exact.
 """
 
 from __future__ import annotations
@@ -30,8 +29,6 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair at 0.8 shares no bucket with probability 3e-5, one at 0.9 with 2e-9.
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
-#: The share of equal coordinates below which a pair isn't compared: 3.3 standard deviations under 0.8.
-AGREE = 0.65
 #: Members of a block in which a large bucket is compared.
 BLOCK = 512
 #: Cells that a task compares with at once; a longer text stands alone.
@@ -99,22 +96,18 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(cells, np.bincount(rows, minlength=j - i), pa.int64())], ["node", "cells"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, text -> node, signature (two bytes a coordinate), cells (eight bytes each, sorted)."""
+def _sorted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text -> node, cells (eight bytes each, sorted)."""
     for batch in batches:
         data, offsets = buffers(batch.column(1))
         for i, j in chunks(offsets):
             cells, rows = shingle_cells(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], SHINGLE)
-            sig = (dart_signatures(cells, rows, j - i) >> U(48)).astype("<u2")
             cuts = np.searchsorted(rows, np.arange(1, j - i))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([np.sort(x).astype("<i8").tobytes() for x in np.split(cells, cuts)], pa.binary())],
-                ["node", "signature", "cells"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.sort(x).astype("<i8").tobytes() for x in np.split(cells, cuts)], pa.binary())], ["node", "cells"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, side, node, label, signature, cells), sorted by block -> links (a, b) across labels, as a forest.
+    """Rows of (block, side, node, label, cells), sorted by block -> links (a, b) across labels, as a forest.
 
     Sides 0 and 1 are two blocks of a bucket, 2 a block against itself. The comparison is exact, as in ``_verified``: a
     pair is skipped only where links that hold have joined it already.
@@ -122,7 +115,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def compare(t: pa.Table) -> pa.RecordBatch | None:
         side, node, label = (t.column(c).to_numpy() for c in ("side", "node", "label"))
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), "<u2").reshape(-1, K)
         cells = [np.frombuffer(x, "<i8") for x in t.column("cells").to_pylist()]
         size = np.array([len(x) for x in cells])
         _, root = np.unique(label, return_inverse=True)
@@ -136,7 +128,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in left:
                 # sizes bound the similarity: the smaller over the larger
                 near = (root[part] != root[i]) & (np.minimum(size[part], size[i]) >= SIMILARITY * np.maximum(size[part], size[i]) - 1e-9)
-                near[near] = (sig[part[near]] == sig[i]).sum(axis=1) >= AGREE * K
                 if not near.any():
                     continue
                 k = np.minimum(np.searchsorted(known, cells[i]), len(known) - 1)
@@ -194,8 +185,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "node", "label")
     wanted = open_.select(F.col("node").alias("want")).distinct()
-    sketches = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select(F.col("node"), "text").mapInArrow(_sketch, "node long, signature binary, cells binary").withColumnRenamed("node", "of"))
-    dealt = dealt.join(sketches, F.col("node") == F.col("of")).select("block", "side", "node", "label", "signature", "cells")
+    sketches = stored(texts.join(wanted, F.col("node") == F.col("want"), "left_semi").select(F.col("node"), "text").mapInArrow(_sorted_cells, "node long, cells binary").withColumnRenamed("node", "of"))
+    dealt = dealt.join(sketches, F.col("node") == F.col("of")).select("block", "side", "node", "label", "cells")
     more = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct())
     if more.limit(1).count():
         labels = components(edges.union(more))

@@ -107,3 +107,12 @@ def test_a_pair_just_below_hides_no_link():
         batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(rows, kinds)], [k for k, _ in kinds])
         links = {(x, y) for out in N._compare(iter([batch])) for x, y in zip(*out.to_pydict().values())}
         assert links == {(0, 2), (1, 2)}
+
+
+def test_a_link_within_a_bucket_needs_no_more_equal_coordinates():
+    """The signatures of a pair at 0.8 or more may differ in more than 35 % of their coordinates."""
+    import pyarrow as pa
+
+    sets = [np.arange(0, 100, dtype="<i8"), np.arange(8, 108, dtype="<i8")]
+    columns = {"block": [1, 1], "side": [2, 2], "node": [7, 9], "label": [7, 9], "signature": [b"\0\0" * N.K, b"\1\1" * N.K], "cells": [x.tobytes() for x in sets]}
+    assert [x.to_pydict() for x in N._compare(iter([pa.RecordBatch.from_pydict(columns)]))] == [{"a": [7], "b": [9]}]
