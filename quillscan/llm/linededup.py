@@ -8,7 +8,8 @@ block's lines are compared with the smallest of them (by hash), and templates ar
 depend on the order of lines, and no leaf, however many lines it has, is gathered in one task.
 
 A template that occurs in several documents recurs: its first line (by doc_id, then place) stays, the others are dropped.
-Lines are pre-aggregated by hash; only leaves with several distinct lines carry tokens any further.
+Lines are pre-aggregated by hash; only leaves with several distinct lines carry tokens any further, as hashes of 16 bits
+that find the blocks. Whether two lines agree is decided on 64-bit hashes of the tokens, read again from the texts.
 """
 
 from __future__ import annotations
@@ -45,15 +46,32 @@ def _block_keys() -> Column:
     return F.expr(f"transform(sequence(0, {blocks} - 1), b -> xxhash64(leaf, b, slice(words, {DEPTH} + 1 + {cut('b')}, {cut('(b + 1)')} - {cut('b')})))")
 
 
-def template_links(crowd: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of one template, from distinct ``crowd`` (leaf, line: hash, words: 16-bit hashes of its tokens)."""
+def shared_blocks(crowd: DataFrame) -> DataFrame:
+    """Blocks of several lines (key, line, leader: the smallest), from distinct ``crowd`` (leaf, line: hash, words: 16-bit
+    hashes of its tokens). Equal tokens have equal hashes, so no block is missed; what it holds need not agree."""
     keys = stored(crowd.select("line", F.explode(_block_keys()).alias("key")))
     leaders = keys.groupBy(F.col("key").alias("of")).agg(F.min("line").alias("leader"), F.max("line").alias("last")).where("leader < last")
-    pairs = keys.join(leaders, F.col("key") == F.col("of")).where("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
-    a, b = (crowd.select(F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
+    return stored(keys.join(leaders, F.col("key") == F.col("of")).select("key", "line", "leader"))
+
+
+def exact_words(docs: DataFrame, places: DataFrame, lines: DataFrame) -> DataFrame:
+    """(line, words: 64-bit hashes of its tokens) of the distinct ``lines`` (line), each read again from one of its places."""
+    places = places.join(lines.withColumnRenamed("line", "want"), F.col("line") == F.col("want"), "left_semi")
+    one = places.groupBy("line").agg(F.min(F.struct("doc_id", "h", "at")).alias("p"))
+    one = stored(one.groupBy(F.col("p.doc_id").alias("of"), F.col("p.h").alias("of_h")).agg(F.collect_list(F.struct("line", "p.at")).alias("wanted")))
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(one, F.expr("doc_id <=> of AND h = of_h"))
+    found = texts.select("wanted", _lines(F.col("text")).alias("lines")).select(F.explode("wanted").alias("w"), "lines")
+    tokens = masked_tokens(F.get("lines", F.col("w.at")))
+    return stored(found.select("w.line", F.transform(tokens, lambda t: F.xxhash64(t)).alias("words")).dropDuplicates(["line"]))
+
+
+def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a block's leader and its other lines that are of one template, by their ``exact`` words."""
+    pairs = shared.where("line <> leader").select(F.col("leader").alias("a"), F.col("line").alias("b")).distinct()
+    a, b = (exact.select(F.col("line").alias(f"line_{x}"), F.col("words").alias(f"words_{x}")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("line_a")).join(b, F.col("b") == F.col("line_b"))
     agree = F.size(F.filter(F.zip_with("words_a", "words_b", lambda x, y: x == y), lambda e: e))
-    return both.where(agree >= SAME * F.size("words_a") - 1e-9).select("a", "b")
+    return both.where((F.size("words_a") == F.size("words_b")) & (agree >= SAME * F.size("words_a") - 1e-9)).select("a", "b")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -72,7 +90,8 @@ def recurring(docs: DataFrame) -> DataFrame:
     # a table: then both sides of the join are plain exchanges, and a hot leaf's rows can be split among tasks
     crowded = stored(crowded)
     crowd = stored(once.join(crowded.hint("merge"), F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
-    labels = components(template_links(crowd)).withColumnRenamed("node", "of")
+    shared = shared_blocks(crowd)
+    labels = components(template_links(shared, exact_words(docs, places, shared.select("line").distinct()))).withColumnRenamed("node", "of")
 
     templated = places.join(labels, F.col("line") == F.col("of"), "left").select("doc_id", "h", "at", F.coalesce("label", "line").alias("template"), "n")
     by_doc = stored(templated.groupBy("template", "doc_id", "h").agg(F.collect_set("at").alias("places"), F.max("n").alias("n")))

@@ -76,3 +76,17 @@ def test_extra_columns_stay_and_names_may_not_clash(spark):
 
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_words_of_equal_short_hashes_do_not_agree(spark):
+    """Two lines that are equal in 3 of 5 tokens, with 4th words whose hashes agree in 16 bits."""
+    from pyspark.sql import functions as F
+
+    names = ["".join(chr(97 + k // 26**p % 26) for p in range(3)) for k in range(3000)]
+    by = {}
+    for r in spark.createDataFrame([(x,) for x in names], "w string").select("w", F.shiftright(F.hash("w"), 16).alias("h")).collect():
+        by.setdefault(r.h, []).append(r.w)
+    v, w = next(x for x in by.values() if len(x) > 1)[:2]
+    rows = [(1, f"alpha beta gamma {v} delta"), (2, f"alpha beta gamma {w} epsilon")]
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [(*r, 0) for r in rows]
