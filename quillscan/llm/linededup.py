@@ -4,8 +4,9 @@ A line's tokens are what white space separates; a token with a digit is a variab
 fixed depth: the number of tokens, then the leading tokens (fields count alike). In a leaf, a line joins the template of a
 leading line if at least ``SAME`` of their tokens agree place by place; the places that differ are fields of the template
 too. Two lines that agree so far share one of the blocks into which the places behind the leading tokens are cut, so each
-block's lines are compared with the smallest of them (by hash), and templates are chains of such lines: the outcome doesn't
-depend on the order of lines, and no leaf, however many lines it has, is gathered in one task.
+block's lines are compared with the smallest of them (by hash), and where that leaves a block in several components, with
+each other, in pairs of bounded blocks. Templates are chains of lines that agree: the outcome doesn't depend on the order
+of lines, and no leaf, however many lines it has, is gathered in one task.
 
 A template that occurs in several documents recurs: its first line (by doc_id, then place) stays, the others are dropped.
 Lines are pre-aggregated by hash; only leaves with several distinct lines carry tokens any further, as hashes of 16 bits
@@ -14,16 +15,23 @@ that find the blocks. Whether two lines agree is decided on 64-bit hashes of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.components import components
+from quillscan.llm.kernels import sorted_groups
 from quillscan.session import fresh, stored
 
 #: Leading tokens of the tree's path; the share of equal tokens of a template's lines; documents from which it recurs.
 DEPTH, SAME, MIN_DOCS = 3, 0.8, 2
 #: Lines of fewer tokens recur by chance: they are templates as they are, dropped from this many documents on.
 SHORT, MIN_DOCS_SHORT = 5, 10
+#: Lines of a block in which a large one is compared, and words that a task compares with at once.
+BLOCK, CELLS = 512, 1 << 20
 _FIELD = "<*>"
 _BLANK = r"\x09-\x0D\x20\x85\xA0"
 
@@ -74,6 +82,60 @@ def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
     return both.where((F.size("words_a") == F.size("words_b")) & (agree >= SAME * F.size("words_a") - 1e-9)).select("a", "b")
 
 
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (block, side, line, label, words), sorted by block -> links (a, b) across labels, as a forest.
+
+    Sides 0 and 1 are two blocks of lines, 2 a block against itself.
+    """
+    for t in sorted_groups(batches):
+        side, line, label = (t.column(c).to_numpy() for c in ("side", "line", "label"))
+        words = [np.frombuffer(x, "<i8") for x in t.column("words").to_pylist()]
+        size = np.array([len(x) for x in words])
+        _, root = np.unique(label, return_inverse=True)
+        pairs = []
+        for n in np.unique(size):  # but for a collision of keys there is one
+            left, right = np.flatnonzero((side != 1) & (size == n)), np.flatnonzero((side != 0) & (size == n))
+            step = max(1, CELLS // int(n))
+            for part in (right[k : k + step] for k in range(0, len(right), step)):
+                there = np.stack([words[x] for x in part])
+                for i in left:
+                    near = np.flatnonzero(root[part] != root[i])
+                    if not len(near):
+                        continue
+                    for x in part[near[(there[near] == words[i]).sum(axis=1) >= SAME * n - 1e-9]]:
+                        if root[x] != root[i]:
+                            pairs.append((min(line[i], line[x]), max(line[i], line[x])))
+                            root[root == root[x]] = root[i]
+        if pairs:
+            x, y = zip(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """line, words (array<long>) -> of, words (eight bytes each)."""
+    for batch in batches:
+        words = [x.values.to_numpy().astype("<i8").tobytes() for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["of", "words"])
+
+
+def open_links(shared: DataFrame, labels: DataFrame, exact: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one template in those blocks of ``shared`` that still hold several of the components ``labels``.
+
+    Lines of such a block are compared inside tasks, in pairs of bounded blocks, so that a hot one is dealt to many.
+    """
+    placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", "line", F.coalesce("label", "line").alias("label")))
+    open_ = placed.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
+    open_ = placed.join(open_, F.col("key") == F.col("of")).select("key", "line", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    open_ = stored(open_.withColumn("mine", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "line", "label")
+    wanted = open_.select(F.col("line").alias("want")).distinct()
+    packed = stored(exact.join(wanted, F.col("line") == F.col("want"), "left_semi").select("line", "words").mapInArrow(_packed, "of long, words binary"))
+    dealt = dealt.join(packed, F.col("line") == F.col("of")).select("block", "side", "line", "label", "words")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct()
+
+
 def recurring(docs: DataFrame) -> DataFrame:
     """Lines to drop of the rows of ``docs`` (doc_id, text): doc_id, h (of the text), drop: their places, from 0."""
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
@@ -91,7 +153,13 @@ def recurring(docs: DataFrame) -> DataFrame:
     crowded = stored(crowded)
     crowd = stored(once.join(crowded.hint("merge"), F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
     shared = shared_blocks(crowd)
-    labels = components(template_links(shared, exact_words(docs, places, shared.select("line").distinct()))).withColumnRenamed("node", "of")
+    exact = exact_words(docs, places, shared.select("line").distinct())
+    edges = stored(template_links(shared, exact))
+    labels = components(edges)
+    more = stored(open_links(shared, labels, exact))
+    if more.limit(1).count():
+        labels = components(edges.union(more))
+    labels = labels.withColumnRenamed("node", "of")
 
     templated = places.join(labels, F.col("line") == F.col("of"), "left").select("doc_id", "h", "at", F.coalesce("label", "line").alias("template"), "n")
     by_doc = stored(templated.groupBy("template", "doc_id", "h").agg(F.collect_set("at").alias("places"), F.max("n").alias("n")))

@@ -90,3 +90,16 @@ def test_words_of_equal_short_hashes_do_not_agree(spark):
     rows = [(1, f"alpha beta gamma {v} delta"), (2, f"alpha beta gamma {w} epsilon")]
     got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.text, r.n_dropped) for r in got) == [(*r, 0) for r in rows]
+
+
+def test_a_leader_that_is_unrelated_hides_no_template(spark):
+    """A and B share one block alone, whose smallest line is like neither of them."""
+    from pyspark.sql import functions as F
+
+    a, b = "go to the old house kk ll mm nn oo", "go to the old house xx ll yy nn oo"
+    rows = [(1, a), (2, b)] + [(10 + k, "go to the old house " + " ".join(chr(97 + k) + c * 3 for c in "pqrst")) for k in range(26)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    leader = min(df.select(F.xxhash64(L.masked_tokens(F.col("text"))).alias("line"), "doc_id").collect())
+    assert leader.doc_id >= 10
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(df).collect()), key=str)
+    assert got == brute(rows) and sum(r[3] for r in got) == 1
