@@ -18,7 +18,7 @@ from quillscan.llm.kernels import U, mix, powers
 
 #: Pieces that the table keeps before it begins anew (some 40 bytes each); a row with a longer piece isn't cut here.
 _MOST, _LONGEST = 2_000_000, 1024
-_TOP = 0x250
+_TOP, _TABLE = 0x250, 0x10000
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 
 
@@ -30,8 +30,14 @@ def _kind(c: str) -> int:
     return {"L": _LETTER, "N": _DIGIT}.get(unicodedata.category(c)[0], _OTHER)
 
 
-_KIND = np.array([_kind(chr(i)) for i in range(_TOP)] + [_ODD], np.int8)
-_LOW = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_TOP)] + [0], np.uint32)
+# beyond _TOP for retrieval only
+_KIND = np.array([_kind(chr(i)) for i in range(_TABLE)] + [_OTHER], np.int8)
+_LOW = np.array([ord(c) if len(c := chr(i).lower()) == 1 else i for i in range(_TABLE)] + [0], np.uint32)
+
+
+def _alone(points: np.ndarray) -> np.ndarray:
+    """Which code points are pieces by themselves: those of scripts without blanks (Han, kana, Yi) and symbols beyond."""
+    return ((points >= 0x2E80) & (points < 0xA4D0)) | ((points >= 0xF900) & (points < 0xFB00)) | (points >= _TABLE)
 
 
 def _byte_letters() -> list[str]:
@@ -84,22 +90,23 @@ class WordTokenizer:
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of UTF-8 rows (see ``kernels.buffers``): all ids, where each row's begin (with the end as last); and a number
-        for each piece, for retrieval, with the rows' places likewise (of rows off the fast path there are none)."""
+        for each piece, for retrieval, with the rows' places likewise (of all rows, also those that go to the tokenizer whole)."""
         if self.n > _MOST:
             self._clear()
         rows = len(offsets) - 1
         at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        clipped = np.minimum(points, _TOP)
-        kind, low = _KIND[clipped], _LOW[clipped]
+        clipped = np.minimum(points, _TABLE)
+        kind, low = _KIND[clipped], np.where(points < _TABLE, _LOW[clipped], points)
         odd = np.zeros(rows, bool)
-        odd[np.searchsorted(at, np.flatnonzero(kind == _ODD), "right") - 1] = True
+        odd[np.searchsorted(at, np.flatnonzero((kind == _ODD) | (points >= _TOP)), "right") - 1] = True
         bar = np.flatnonzero((points[:-1] == 60) & (points[1:] == 124))
         odd[np.searchsorted(at, bar, "right") - 1] = True  # "<|": perhaps one of the special tokens
 
         n = len(points)
+        alone = _alone(points)
         edge = np.ones(n + 1, bool)
-        edge[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        edge[1:n] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT) | (alone[1:] | alone[:-1])
         edge[at] = True
         start = np.flatnonzero(edge[:n] & (kind != _SPACE))
         end = np.append(np.flatnonzero(edge), n)  # each start's next edge
@@ -108,9 +115,6 @@ class WordTokenizer:
         long = np.flatnonzero(end - start > _LONGEST)
         odd[np.searchsorted(at, start[long], "right") - 1] = True
         row = np.searchsorted(at, start, "right") - 1
-        good = ~odd[row]
-        start, end, row = start[good], end[good], row[good]
-
         lengths = end - start
         if len(start):
             cs = np.cumsum(lengths) - lengths
@@ -119,6 +123,9 @@ class WordTokenizer:
             h = mix(h + lengths.astype(U) * U(0xD6E8FEB86659FD93))
         else:
             h = np.zeros(0, U)
+        terms, terms_at = h.view(np.int64), np.searchsorted(row, np.arange(rows + 1))
+        good = ~odd[row]  # ids of other rows are not looked up by pieces
+        start, end, row, h = start[good], end[good], row[good], h[good]
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
         found = np.searchsorted(self.hashes, distinct)
         new = np.ones(len(distinct), bool)
@@ -143,7 +150,7 @@ class WordTokenizer:
                 else:
                     parts.append(ids[ids_at[r] : ids_at[r + 1]])
             ids, ids_at = np.concatenate(parts), np.concatenate(([0], np.cumsum(sizes)))
-        return ids, ids_at, h.view(np.int64), pieces_at
+        return ids, ids_at, terms, terms_at
 
     @staticmethod
     def _contractions(low: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

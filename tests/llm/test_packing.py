@@ -76,3 +76,15 @@ def test_neighbours_share_words():
     unused = np.array([False, True, True, True, True, True])
     assert set(index.neighbours(0, unused)[:2].tolist()) == {2, 5}  # 1 and 2, 1 and 3; the others share 9 at most
     assert sorted(packing.order_shard(docs, [600] * 6, 2048)) == list(range(6))
+
+
+def test_every_document_has_terms_whatever_its_letters():
+    texts = ["She said “hello” to the baker", "the baker — said hello", "Привет большой мир", "мир большой", "五六七", "六", "<|endoftext|> baker", "a" * 2000, "🙂"]
+    raw = [t.encode() for t in texts]
+    _, _, terms, at = tokens.tokenizer(PATH).encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    of = [set(terms[a:b].tolist()) for a, b in zip(at, at[1:])]
+    assert all(of) and len(at) == len(texts) + 1
+    assert len(of[0] & of[1]) == 4 and len(of[2] & of[3]) == 2 and len(of[4] & of[5]) == 1 and len(of[0] & of[6]) == 1
+    index = packing.Bm25([terms[a:b] for a, b in zip(at, at[1:])])
+    unused = np.arange(len(texts)) != 2
+    assert index.neighbours(2, unused).tolist() == [3]
