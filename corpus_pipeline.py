@@ -43,7 +43,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold 8 consecutive words of a benchmark item."""
+    """Drops documents that hold 8 consecutive words of a benchmark item, or windows of two items (shorter ones whole)."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 

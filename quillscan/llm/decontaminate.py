@@ -97,22 +97,19 @@ def proximity_matches(index: DataFrame, terms: list[str], distance: int) -> Data
     return left
 
 
-def hits_by_document(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, whole_windows: bool = False) -> DataFrame:
-    """Of documents with an occurrence: doc2, h2 (their id and the hash of their text), n_hit, n_items, items_sha256.
-
-    ``whole_windows``: items of fewer than ``size`` words are left out.
-    """
-    windows = windows_of(benchmark, size)
-    windows = stored(windows.where(F.size("words") == size) if whole_windows else windows)
+def hits_by_document(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Of documents with an occurrence: doc2, h2 (their id and the hash of their text), n_hit, n_items, items_sha256, longest
+    (words of the longest window)."""
+    windows = stored(windows_of(benchmark, size))
     counts = stored(term_counts(docs, windows.select(F.explode("words").alias("term")).distinct()))
     windows = stored(anchored(windows, counts))
     anchors = windows.select(F.col("t1").alias("term"), F.lit(True).alias("rarest")).union(windows.select("t2", F.lit(False)))
     anchors = anchors.where(F.col("term").isNotNull()).groupBy("term").agg(F.max("rarest").alias("rarest"))
     matches = phrase_matches(build_index(docs, anchors, size), windows)
     spans = F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
-    per_doc = matches.groupBy(F.col("doc_id").alias("doc2"), F.col("h").alias("h2")).agg(spans.alias("spans"), F.collect_set("items").alias("items"))
+    per_doc = matches.groupBy(F.col("doc_id").alias("doc2"), F.col("h").alias("h2")).agg(spans.alias("spans"), F.collect_set("items").alias("items"), F.max("n").alias("longest"))
     items = F.array_sort(F.array_distinct(F.flatten("items")))
-    return per_doc.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
+    return per_doc.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "longest")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -131,8 +128,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``docs`` without those that hold ``size`` consecutive words of a benchmark item; items of fewer words leak nothing."""
-    leaks = stored(hits_by_document(docs, benchmark, size, whole_windows=True).select("doc2", "h2"))
+    """``docs`` without those that hold ``size`` consecutive words of a benchmark item, or are contaminated: with windows of
+    two items or more, where an item of fewer words is one window."""
+    leaks = stored(hits_by_document(docs, benchmark, size).where((F.col("longest") >= size) | (F.col("n_items") >= 2)).select("doc2", "h2"))
     of, h = (fresh(x, docs.columns) for x in ("leak_id", "leak_hash"))
     leaks = leaks.toDF(of, h)
     same = docs["doc_id"].eqNullSafe(leaks[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == leaks[h])

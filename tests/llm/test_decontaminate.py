@@ -70,3 +70,10 @@ def test_proximity(spark):
     index = D.build_index(docs, anchors)
     near = lambda d: sorted(r.doc_id for r in D.proximity_matches(index, ["a", "b", "c"], d).collect())
     assert near(2) == [2] and near(4) == [1, 2]
+
+
+def test_the_stage_drops_what_the_operator_calls_contaminated(spark):
+    """Two whole items of fewer words, or one window of eight; one short item alone is no leak."""
+    docs = spark.createDataFrame([(1, "short Ünique item, then one"), (2, "one"), (3, "x " + LINE), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, "Short Ünique item"), (6, "one"), (1, LINE)], "item_id long, text string")
+    assert sorted(r.doc_id for r in D.without_leaks(docs, bench).collect()) == [2, 4]
