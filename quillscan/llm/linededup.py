@@ -1,21 +1,26 @@
 """Line dedup by a log-template tree, in DataFrame operations.
 
 A line's tokens are what white space separates; a token with a digit is a variable field. Lines are parsed by a tree of
-fixed depth: the number of tokens, then the leading tokens (fields count alike). In a leaf, a line joins the template of a
-leading line if at least ``SAME`` of their tokens agree place by place; the places that differ are fields of the template
-too. Two lines that agree so far share one of the blocks into which the places behind the leading tokens are cut, so each
-block's lines are compared with the smallest of them (by hash), and where that leaves a block in several components, with
-each other, in pairs of bounded blocks. Templates are chains of lines that agree: the outcome doesn't depend on the order
-of lines, and no leaf, however many lines it has, is gathered in one task.
-
-A template that occurs in several documents recurs: its first line (by doc_id, then place) stays, the others are dropped.
-Lines are pre-aggregated by hash; only leaves with several distinct lines carry tokens any further, as hashes of 16 bits
-that find the blocks. Whether two lines agree is decided on 64-bit hashes of the tokens, read again from the texts.
+fixed depth: the number of tokens, then the leading tokens (fields count alike). In a leaf, two lines are of one template
+if at least ``SAME`` of their tokens agree place by place; the places that differ are fields of the template too. Two lines
+that agree so far share one of the blocks into which the places behind the leading tokens are cut, so lines are compared
+only within blocks: each with the smallest one (by hash), and where that leaves a block in several components, all with
+each other, inside one task if they are few. A block of more lines is cut again at its other places, by the same argument
+without losing a pair, until its parts are few lines, or agree in so many places that all of them are of one template.
+Templates are chains of lines that agree: the outcome doesn't depend on the order of lines, and no leaf, however many lines
+it has, is gathered in one task.
+
+A template of ``MIN_TOKENS`` tokens or more that occurs in several documents recurs: its first line (by doc_id, then place)
+stays, the others are dropped. Fewer tokens ("Of course.") say nothing of where a line comes from, whatever the corpus'
+size: such lines have no template. Lines are pre-aggregated by hash; only leaves with several distinct lines carry tokens
+any further, as hashes of 16 bits that find the blocks. Whether two lines agree is decided on 64-bit hashes of the tokens,
+read again from the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +28,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.components import components
-from quillscan.llm.kernels import sorted_groups
+from quillscan.llm.kernels import U, mix, sorted_groups
 from quillscan.session import fresh, stored
 
 #: Leading tokens of the tree's path; the share of equal tokens of a template's lines; documents from which it recurs.
 DEPTH, SAME, MIN_DOCS = 3, 0.8, 2
-#: Lines of fewer tokens recur by chance: they are templates as they are, dropped from this many documents on.
-SHORT, MIN_DOCS_SHORT = 5, 10
-#: Lines of a block in which a large one is compared, and words that a task compares with at once.
-BLOCK, CELLS = 512, 1 << 20
+#: Tokens of a template, at least: the path's and two behind it.
+MIN_TOKENS = DEPTH + 2
+#: Lines that are compared inside one task, all with each other.
+BLOCK = 1024
 _FIELD = "<*>"
 _BLANK = r"\x09-\x0D\x20\x85\xA0"
 
@@ -48,18 +53,19 @@ def masked_tokens(line: Column) -> Column:
 
 
 def _block_keys() -> Column:
-    """Hashes of the blocks behind the leading tokens of ``words``: one more than places that may differ."""
+    """Hashes of the blocks behind the leading tokens of ``words``, one more than places that may differ, with their numbers."""
     blocks = f"(int(floor(size(words) * {1 - SAME:.6f} + 1e-9)) + 1)"
-    cut = lambda b: f"int(floor({b} * (size(words) - {DEPTH}) / {blocks}))"
-    return F.expr(f"transform(sequence(0, {blocks} - 1), b -> xxhash64(leaf, b, slice(words, {DEPTH} + 1 + {cut('b')}, {cut('(b + 1)')} - {cut('b')})))")
+    cut = lambda b: f"({b} * (size(words) - {DEPTH}) div {blocks})"
+    return F.expr(f"transform(sequence(0, {blocks} - 1), b -> xxhash64(leaf, b, slice(words, {DEPTH} + 1 + int({cut('b')}), int({cut('(b + 1)')} - {cut('b')}))))")
 
 
 def shared_blocks(crowd: DataFrame) -> DataFrame:
-    """Blocks of several lines (key, line, leader: the smallest), from distinct ``crowd`` (leaf, line: hash, words: 16-bit
-    hashes of its tokens). Equal tokens have equal hashes, so no block is missed; what it holds need not agree."""
-    keys = stored(crowd.select("line", F.explode(_block_keys()).alias("key")))
+    """Blocks of several lines (key, number: of the block in its lines, line, leader: the smallest), from distinct ``crowd``
+    (leaf, line: hash, words: 16-bit hashes of its tokens). Equal tokens have equal hashes, so no block is missed; what it
+    holds need not agree."""
+    keys = stored(crowd.select("line", F.posexplode(_block_keys()).alias("number", "key")))
     leaders = keys.groupBy(F.col("key").alias("of")).agg(F.min("line").alias("leader"), F.max("line").alias("last")).where("leader < last")
-    return stored(keys.join(leaders, F.col("key") == F.col("of")).select("key", "line", "leader"))
+    return stored(keys.join(leaders, F.col("key") == F.col("of")).select("key", "number", "line", "leader"))
 
 
 def exact_words(docs: DataFrame, places: DataFrame, lines: DataFrame) -> DataFrame:
@@ -83,34 +89,67 @@ def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, side, line, label, words), sorted by block -> links (a, b) across labels, as a forest.
-
-    Sides 0 and 1 are two blocks of lines, 2 a block against itself.
-    """
+    """Rows of (block, line, label, words), sorted by block, ``BLOCK`` a block at most -> links (a, b) across labels, as a
+    forest."""
     for t in sorted_groups(batches):
-        side, line, label = (t.column(c).to_numpy() for c in ("side", "line", "label"))
+        line, label = (t.column(c).to_numpy() for c in ("line", "label"))
         words = [np.frombuffer(x, "<i8") for x in t.column("words").to_pylist()]
         size = np.array([len(x) for x in words])
         _, root = np.unique(label, return_inverse=True)
         pairs = []
         for n in np.unique(size):  # but for a collision of keys there is one
-            left, right = np.flatnonzero((side != 1) & (size == n)), np.flatnonzero((side != 0) & (size == n))
-            step = max(1, CELLS // int(n))
-            for part in (right[k : k + step] for k in range(0, len(right), step)):
-                there = np.stack([words[x] for x in part])
-                for i in left:
-                    near = np.flatnonzero(root[part] != root[i])
-                    if not len(near):
-                        continue
-                    for x in part[near[(there[near] == words[i]).sum(axis=1) >= SAME * n - 1e-9]]:
-                        if root[x] != root[i]:
-                            pairs.append((min(line[i], line[x]), max(line[i], line[x])))
-                            root[root == root[x]] = root[i]
+            part = np.flatnonzero(size == n)
+            there = np.stack([words[x] for x in part])
+            for k, i in enumerate(part[:-1]):
+                rest = part[k + 1 :]
+                near = np.flatnonzero(root[rest] != root[i])
+                if not len(near):
+                    continue
+                for x in rest[near[(there[k + 1 + near] == there[k]).sum(axis=1) >= SAME * n - 1e-9]]:
+                    if root[x] != root[i]:
+                        pairs.append((min(line[i], line[x]), max(line[i], line[x])))
+                        root[root == root[x]] = root[i]
         if pairs:
             x, y = zip(*pairs)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, line, label, path, words -> the same of the blocks into which the key's other places are cut.
+
+    ``path``: the blocks taken so far. ``done``: the lines of the new key agree in all but the places that may differ.
+    """
+    for batch in batches:
+        keys, lines, labels = (batch.column(c).to_numpy() for c in ("key", "line", "label"))
+        paths, words = batch.column("path").to_pylist(), batch.column("words").to_pylist()
+        out: list[tuple] = []
+        for key, line, label, path, packed in zip(keys, lines, labels, paths, words):
+            w = np.frombuffer(packed, "<i8").view(U)
+            free, differ = open_places(len(w), path)
+            for b, part in enumerate(np.array_split(free, differ + 1)):
+                h = mix(np.append(w[part], np.array([key, b], np.int64).view(U)) + np.arange(len(part) + 2, dtype=U) * U(0x9E3779B97F4A7C15))
+                new = int(mix(np.bitwise_xor.reduce(h, keepdims=True)).view(np.int64)[0])
+                out.append((new, line, label, [*path, b], packed, len(free) - len(part) <= differ))
+        if out:
+            columns = list(zip(*out))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "line", "label", "path", "words", "done"])
+
+
+def open_places(n: int, path: list[int]) -> tuple[np.ndarray, int]:
+    """Of lines of ``n`` tokens the places that the blocks of ``path`` leave open, and how many may differ."""
+    differ = int(np.floor(n * (1 - SAME) + 1e-9))
+    free = np.arange(DEPTH, n)
+    for k, b in enumerate(path):
+        if k:
+            cut = np.array_split(free, differ + 1)
+        else:  # as ``_block_keys`` cuts
+            ends = [DEPTH + x * (n - DEPTH) // (differ + 1) for x in range(differ + 2)]
+            cut = [np.arange(i, j) for i, j in zip(ends, ends[1:])]
+        free = np.concatenate([part for x, part in enumerate(cut) if x != b])
+    return free, differ
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """line, words (array<long>) -> of, words (eight bytes each)."""
     for batch in batches:
@@ -118,22 +157,33 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["of", "words"])
 
 
+_BLOCK_ROWS = "key long, line long, label long, path array<int>, words binary"
+
+
 def open_links(shared: DataFrame, labels: DataFrame, exact: DataFrame) -> DataFrame:
     """Pairs (a, b) of one template in those blocks of ``shared`` that still hold several of the components ``labels``.
 
-    Lines of such a block are compared inside tasks, in pairs of bounded blocks, so that a hot one is dealt to many.
+    A block of at most ``BLOCK`` lines is compared inside a task. The lines of a larger one go to finer blocks (one more
+    than places that may differ, so that lines that agree share one), and again while these are large and hold several
+    components; where all places but those that may differ are equal, each line is linked with the smallest.
     """
-    placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", "line", F.coalesce("label", "line").alias("label")))
-    open_ = placed.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
-    open_ = placed.join(open_, F.col("key") == F.col("of")).select("key", "line", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = stored(open_.withColumn("mine", F.pmod(F.xxhash64("line", F.lit(1)), F.col("blocks")).cast("int")))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "line", "label")
+    placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", "number", "line", F.coalesce("label", "line").alias("label")))
+    sizes = lambda rows: rows.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("line").alias("first")).where("low < high")
+    open_ = stored(placed.join(sizes(placed).where("n > 2"), F.col("key") == F.col("of")).select("key", F.array("number").alias("path"), "line", "label", "n"))
     wanted = open_.select(F.col("line").alias("want")).distinct()
     packed = stored(exact.join(wanted, F.col("line") == F.col("want"), "left_semi").select("line", "words").mapInArrow(_packed, "of long, words binary"))
-    dealt = dealt.join(packed, F.col("line") == F.col("of")).select("block", "side", "line", "label", "words")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct()
+    rows = open_.join(packed, F.col("line") == F.col("of")).select("key", "line", "label", "path", "words", "n")
+    found = []
+    while True:
+        few = rows.where(F.col("n") <= BLOCK).select("key", "line", "label", "words")
+        found.append(stored(few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()))
+        large = rows.where(F.col("n") > BLOCK)
+        if not large.limit(1).count():
+            return reduce(DataFrame.union, found)
+        finer = stored(large.select("key", "line", "label", "path", "words").mapInArrow(_finer, f"{_BLOCK_ROWS}, done boolean"))
+        rows = stored(finer.join(sizes(finer), F.col("key") == F.col("of")).select("key", "line", "label", "path", "words", "done", "n", "first"))
+        found.append(stored(rows.where("done AND line <> first").select(F.col("first").alias("a"), F.col("line").alias("b")).distinct()))
+        rows = rows.where("NOT done")
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -144,11 +194,11 @@ def recurring(docs: DataFrame) -> DataFrame:
     n, key = F.size("tokens"), F.xxhash64("tokens")
     leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
     # lines are parsed once; the tokens' hashes lie in a column of their own, which only the comparison below reads
-    words = F.when(n >= SHORT, F.transform("tokens", lambda t: F.shiftright(F.hash(t), 16).cast("short")))
-    places = stored(tokens.select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), n.alias("n"), words.alias("words")))
+    words = F.transform("tokens", lambda t: F.shiftright(F.hash(t), 16).cast("short"))
+    places = stored(tokens.where(n >= MIN_TOKENS).select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), words.alias("words")))
 
-    crowded = places.where(F.col("n") >= SHORT).groupBy(F.col("leaf").alias("of")).agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("of")
-    once = places.where(F.col("n") >= SHORT).select("leaf", "line", "words")
+    crowded = places.groupBy(F.col("leaf").alias("of")).agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("of")
+    once = places.select("leaf", "line", "words")
     # a table: then both sides of the join are plain exchanges, and a hot leaf's rows can be split among tasks
     crowded = stored(crowded)
     crowd = stored(once.join(crowded.hint("merge"), F.col("leaf") == F.col("of"), "left_semi").dropDuplicates(["line"]))
@@ -161,10 +211,10 @@ def recurring(docs: DataFrame) -> DataFrame:
         labels = components(edges.union(more))
     labels = labels.withColumnRenamed("node", "of")
 
-    templated = places.join(labels, F.col("line") == F.col("of"), "left").select("doc_id", "h", "at", F.coalesce("label", "line").alias("template"), "n")
-    by_doc = stored(templated.groupBy("template", "doc_id", "h").agg(F.collect_set("at").alias("places"), F.max("n").alias("n")))
-    seen = by_doc.groupBy(F.col("template").alias("of")).agg(F.count("*").alias("docs"), F.max("n").alias("tokens"), F.min(F.struct("doc_id", "h")).alias("keeper"))
-    seen = stored(seen.where(F.col("docs") >= F.when(F.col("tokens") < SHORT, MIN_DOCS_SHORT).otherwise(MIN_DOCS)))
+    templated = places.join(labels, F.col("line") == F.col("of"), "left").select("doc_id", "h", "at", F.coalesce("label", "line").alias("template"))
+    by_doc = stored(templated.groupBy("template", "doc_id", "h").agg(F.collect_set("at").alias("places")))
+    seen = by_doc.groupBy(F.col("template").alias("of")).agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "h")).alias("keeper"))
+    seen = stored(seen.where(F.col("docs") >= MIN_DOCS))
     hit = by_doc.join(seen, F.col("template") == F.col("of"))
     keeps = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("h") == F.col("keeper.h"))
     drop = F.when(keeps, F.array_remove("places", F.array_min("places"))).otherwise(F.col("places"))
@@ -174,7 +224,7 @@ def recurring(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` (doc_id, text and any others) with recurring lines dropped from text, and two counts after its columns.
 
-    Null texts and rows without recurring lines stay as they are; lines without tokens are never dropped. Rows that repeat
+    Null texts and rows without recurring lines stay as they are; lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Rows that repeat
     each other (id and text) count as one document and lose the same lines. A doc_id of null comes before all others.
     """
     if clash := {c.lower() for c in docs.columns} & {n_lines.lower(), n_dropped.lower()}:

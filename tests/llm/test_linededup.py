@@ -1,5 +1,6 @@
 """Line dedup against a brute-force version of the template tree."""
 
+import random
 import re
 
 from quillscan.llm import linededup as L
@@ -12,10 +13,9 @@ def tokens(line):
 
 
 def brute(rows):
-    """Rows (id, text) -> (id, text, lines, dropped); links between all lines of a leaf, which for these rows make the
-    same chains as links with block leaders."""
+    """Rows (id, text) -> (id, text, lines, dropped); links between all lines of a leaf."""
     docs = sorted({(r[0] is not None, r[0] or 0, r[1]) for r in rows if r[1] is not None}, key=str)
-    lines = sorted({tokens(x) for d in docs for x in d[2].split("\n") if tokens(x)})
+    lines = sorted({tokens(x) for d in docs for x in d[2].split("\n") if len(tokens(x)) >= L.MIN_TOKENS})
     root = {x: x for x in lines}
 
     def find(x):
@@ -25,16 +25,16 @@ def brute(rows):
 
     for i, a in enumerate(lines):
         for b in lines[:i]:
-            if len(a) == len(b) >= L.SHORT and a[: L.DEPTH] == b[: L.DEPTH] and sum(p == q for p, q in zip(a, b)) >= L.SAME * len(a) - 1e-9:
+            if len(a) == len(b) and a[: L.DEPTH] == b[: L.DEPTH] and sum(p == q for p, q in zip(a, b)) >= L.SAME * len(a) - 1e-9:
                 root[find(a)] = find(b)
     where = {}
     for d in docs:
         for k, x in enumerate(d[2].split("\n")):
-            if tokens(x):
+            if len(tokens(x)) >= L.MIN_TOKENS:
                 where.setdefault(find(tokens(x)), {}).setdefault(d, []).append(k)
     drop = {}
     for t, by in where.items():
-        if len(by) >= (L.MIN_DOCS_SHORT if len(t) < L.SHORT else L.MIN_DOCS):
+        if len(by) >= L.MIN_DOCS:
             keeper = min(by)
             for d, places in by.items():
                 drop.setdefault(d, set()).update(places[1:] if d == keeper else places)
@@ -103,3 +103,27 @@ def test_a_leader_that_is_unrelated_hides_no_template(spark):
     assert leader.doc_id >= 10
     got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(df).collect()), key=str)
     assert got == brute(rows) and sum(r[3] for r in got) == 1
+
+
+def test_planted_pairs_of_one_leaf_are_all_linked(spark):
+    """400 pairs of lines that agree in 10 of 12 tokens and share one block alone, which the whole leaf shares."""
+    rows, names = [], iter("".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(40000))
+    for k in range(400):
+        a = ["see", "the", "log", "of", "all", "things"] + [next(names) for _ in range(6)]
+        b = a[:6] + [next(names), *a[7:9], next(names), *a[10:]]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == set(range(1, 800, 2))
+
+
+def test_large_blocks_are_cut_without_losing_a_pair(spark, monkeypatch):
+    """A random leaf against all pairs, with blocks of few lines."""
+    monkeypatch.setattr(L, "BLOCK", 4)
+    rng = random.Random(3)
+    for n in (7, 12, 20):
+        lines = [["start", "of", "line"] + [rng.choice("abcd") * (1 + (p < 6)) for p in range(n - 3)] for _ in range(60)]
+        for x in lines[:40]:  # copies with a few other words
+            lines.append([w if rng.random() > 0.15 or p < 3 else rng.choice("efgh") * 9 for p, w in enumerate(x)])
+        rows = [(k, " ".join(x)) for k, x in enumerate(lines)]
+        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+        assert got == brute(rows)
