@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.components import components
-from quillscan.llm.kernels import U, mix, sorted_groups
+from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, powers, sorted_groups
 from quillscan.session import fresh, stored
 
 #: Leading tokens of the tree's path; the share of equal tokens of a template's lines; documents from which it recurs.
@@ -37,19 +37,83 @@ DEPTH, SAME, MIN_DOCS = 3, 0.8, 2
 MIN_TOKENS = DEPTH + 2
 #: Lines that are compared inside one task, all with each other.
 BLOCK = 1024
-_FIELD = "<*>"
-_BLANK = r"\x09-\x0D\x20\x85\xA0"
+_FIELD = U(0xA0761D6478BD642F)
+#: White space, but for U+0085 and U+00A0, which are two bytes.
+_BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def masked_tokens(line: Column) -> Column:
-    """The tokens of a line, those with a digit replaced by a field mark."""
-    # tried at the starts of tokens only, without backtracking: a long token costs no more than its length
-    masked = F.regexp_replace(line, rf"(?<![^{_BLANK}])[^{_BLANK}0-9]*+[0-9][^{_BLANK}]*+", _FIELD)
-    return F.array_remove(F.split(F.when(line.rlike("[0-9]"), masked).otherwise(line), rf"[{_BLANK}]+", -1), "")
+def line_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines with tokens of UTF-8 rows (see ``kernels.buffers``): row, place in the row, and first token (with the
+    end as last); and a 64-bit hash of each token, the same for all tokens with a digit."""
+    blank = _BLANKS[data]
+    wide = np.flatnonzero((data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0)))
+    blank[wide] = blank[wide + 1] = True
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    inside = ~blank
+    before, after = np.zeros(len(data) + 1, bool), np.zeros(len(data) + 1, bool)
+    before[1:], after[:-1] = inside, inside
+    start = np.flatnonzero(inside & ~(before & ~edge)[:-1])
+    end = np.flatnonzero(inside & ~(after & ~edge)[1:]) + 1
+    if not len(start):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(1, np.int64), np.zeros(0, U)
+    lengths = end - start
+    at = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
+    h = np.add.reduceat((data[inside].astype(U) + U(1)) * powers(int(lengths.max()))[place], at)
+    h = mix(h + lengths.astype(U) * U(0xD6E8FEB86659FD93))
+    digits = np.concatenate(([0], np.cumsum((data >= 0x30) & (data <= 0x39))))
+    h[digits[end] > digits[start]] = _FIELD
+    row = np.searchsorted(offsets, start, "right") - 1
+    feeds = np.concatenate(([0], np.cumsum(data == 10)))
+    line = feeds[start] - feeds[offsets[row]]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1]))))
+    return row[first], line[first], np.append(first, len(start)), h
+
+
+def line_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of lines and of their leaves, from their tokens; lines of fewer tokens than ``DEPTH`` have no leaf (0)."""
+    n = np.diff(first)
+    if not len(n):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.arange(len(h)) - np.repeat(first[:-1], n)
+    line = mix(np.add.reduceat(mix(h + U(1)) * powers(int(n.max()))[place], first[:-1]) + n.astype(U))
+    leaf = np.zeros(len(n), U)
+    deep = np.flatnonzero(n >= DEPTH)
+    for k in range(DEPTH):
+        leaf[deep] = mix(leaf[deep] * U(0x9E3779B97F4A7C15) + h[first[deep] + k])
+    leaf[deep] = mix(leaf[deep] + n[deep].astype(U))
+    return line.view(np.int64), leaf.view(np.int64)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, h, text -> doc_id, h, at, line, leaf and words (16 bits of each token's hash) of the lines of at least
+    ``MIN_TOKENS`` tokens."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(2))
+        for i, j in chunks(offsets):
+            row, at, first, h = line_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            line, leaf = line_keys(first, h)
+            n = np.diff(first)
+            good = n >= MIN_TOKENS
+            words = list_array((h >> U(48)).astype(np.uint16).view(np.int16)[np.repeat(good, n)], n[good], pa.int16())
+            which = pa.array(row[good] + i)
+            columns = [batch.column(0).take(which), batch.column(1).take(which), pa.array(at[good].astype(np.int32)), pa.array(line[good]), pa.array(leaf[good]), words]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "at", "line", "leaf", "words"])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """line, text (of the line alone) -> line, words (64 bits of each token's hash)."""
+    for batch in batches:
+        data, offsets = buffers(batch.column(1))
+        for i, j in chunks(offsets):
+            row, _, first, h = line_tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + i)), list_array(h.view(np.int64), np.diff(first), pa.int64())], ["line", "words"])
 
 
 def _block_keys() -> Column:
@@ -74,9 +138,9 @@ def exact_words(docs: DataFrame, places: DataFrame, lines: DataFrame) -> DataFra
     one = places.groupBy("line").agg(F.min(F.struct("doc_id", "h", "at")).alias("p"))
     one = stored(one.groupBy(F.col("p.doc_id").alias("of"), F.col("p.h").alias("of_h")).agg(F.collect_list(F.struct("line", "p.at")).alias("wanted")))
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(one, F.expr("doc_id <=> of AND h = of_h"))
-    found = texts.select("wanted", _lines(F.col("text")).alias("lines")).select(F.explode("wanted").alias("w"), "lines")
-    tokens = masked_tokens(F.get("lines", F.col("w.at")))
-    return stored(found.select("w.line", F.transform(tokens, lambda t: F.xxhash64(t)).alias("words")).dropDuplicates(["line"]))
+    lines = _lines(F.col("text"))
+    found = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["at"]).alias("text")))).alias("w"))
+    return stored(found.select("w.line", "w.text").mapInArrow(_exact, "line long, words array<long>").dropDuplicates(["line"]))
 
 
 def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
@@ -188,14 +252,10 @@ def open_links(shared: DataFrame, labels: DataFrame, exact: DataFrame) -> DataFr
 
 def recurring(docs: DataFrame) -> DataFrame:
     """Lines to drop of the rows of ``docs`` (doc_id, text): doc_id, h (of the text), drop: their places, from 0."""
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
-    keyed = keyed.where(F.col("line").rlike(rf"[^{_BLANK}]"))
-    tokens = keyed.select("doc_id", "h", "at", masked_tokens(F.col("line")).alias("tokens"))
-    n, key = F.size("tokens"), F.xxhash64("tokens")
-    leaf = F.xxhash64(n, F.slice("tokens", 1, DEPTH))
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
     # lines are parsed once; the tokens' hashes lie in a column of their own, which only the comparison below reads
-    words = F.transform("tokens", lambda t: F.shiftright(F.hash(t), 16).cast("short"))
-    places = stored(tokens.where(n >= MIN_TOKENS).select("doc_id", "h", "at", key.alias("line"), leaf.alias("leaf"), words.alias("words")))
+    places = stored(keyed.mapInArrow(_parse, f"doc_id {kind}, h long, at int, line long, leaf long, words array<short>"))
 
     crowded = places.groupBy(F.col("leaf").alias("of")).agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("of")
     once = places.select("leaf", "line", "words")

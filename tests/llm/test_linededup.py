@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 from quillscan.llm import linededup as L
 
 SPACE = re.compile(r"[\x09-\x0D\x20\x85\xA0]+")
@@ -78,14 +80,17 @@ def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def hashes(words):
+    data = " ".join(words).encode()
+    return L.line_tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[3]
+
+
 def test_words_of_equal_short_hashes_do_not_agree(spark):
     """Two lines that are equal in 3 of 5 tokens, with 4th words whose hashes agree in 16 bits."""
-    from pyspark.sql import functions as F
-
     names = ["".join(chr(97 + k // 26**p % 26) for p in range(3)) for k in range(3000)]
     by = {}
-    for r in spark.createDataFrame([(x,) for x in names], "w string").select("w", F.shiftright(F.hash("w"), 16).alias("h")).collect():
-        by.setdefault(r.h, []).append(r.w)
+    for name, h in zip(names, hashes(names)):
+        by.setdefault(int(h) >> 48, []).append(name)
     v, w = next(x for x in by.values() if len(x) > 1)[:2]
     rows = [(1, f"alpha beta gamma {v} delta"), (2, f"alpha beta gamma {w} epsilon")]
     got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
@@ -94,17 +99,23 @@ def test_words_of_equal_short_hashes_do_not_agree(spark):
 
 def test_a_leader_that_is_unrelated_hides_no_template(spark):
     """A and B share one block alone, whose smallest line is like neither of them."""
-    from pyspark.sql import functions as F
-
     a, b = "go to the old house kk ll mm nn oo", "go to the old house xx ll yy nn oo"
     rows = [(1, a), (2, b)] + [(10 + k, "go to the old house " + " ".join(chr(97 + k) + c * 3 for c in "pqrst")) for k in range(26)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    leader = min(df.select(F.xxhash64(L.masked_tokens(F.col("text"))).alias("line"), "doc_id").collect())
-    assert leader.doc_id >= 10
-    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(df).collect()), key=str)
+    key = lambda x: L.line_keys(np.array([0, len(x.split())]), hashes(x.split()))[0][0]
+    assert min(rows, key=lambda r: key(r[1]))[0] >= 10
+    got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == brute(rows) and sum(r[3] for r in got) == 1
 
 
+def test_tokens_are_cut_at_every_kind_of_blank():
+    text = "a b\u00a0c\u0085d\te\x0b7f\r\n\n 9\u2003x é\u00e0"
+    data = text.encode()
+    row, at, first, h = L.line_tokens(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    lines = [[w for w in SPACE.split(x) if w] for x in text.split("\n")]
+    assert at.tolist() == [k for k, x in enumerate(lines) if x] and np.diff(first).tolist() == [len(x) for x in lines if x]
+    assert len(set(h.tolist())) == len({t for x in text.split("\n") for t in tokens(x)})
+
+
 def test_planted_pairs_of_one_leaf_are_all_linked(spark):
     """400 pairs of lines that agree in 10 of 12 tokens and share one block alone, which the whole leaf shares."""
     rows, names = [], iter("".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(40000))
