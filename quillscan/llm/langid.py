@@ -7,7 +7,7 @@ matrix (languages x buckets, a fixed size) is broadcast, and batches are scored
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +20,9 @@ from quillscan.session import fresh
 
 UND = "und"
 BITS, ORDERS, ALPHA = 15, 3, 0.5
-#: The matrix takes 2**BITS * 8 bytes a language on the driver and on each worker.
-MAX_LANGUAGES = 256
+#: Numbers of the matrix (languages x buckets) on the driver and on each worker, 8 bytes each: with more languages than
+#: fit at 2**BITS buckets each (256) there are fewer buckets, down to 2**LEAST_BITS.
+MOST_NUMBERS, LEAST_BITS = 1 << 23, 6
 _M = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -37,7 +38,7 @@ def _fold() -> np.ndarray:
     return out
 
 
-def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order the hashed n-grams of all rows, and where each row's begin (with the end as last)."""
     at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -45,7 +46,11 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
         rows = [np.frombuffer(data[a:b].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for a, b in zip(offsets, offsets[1:])]
         at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
         points = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-    letters = np.where(points < (1 << 16), _fold()[np.minimum(points, 0xFFFF)], points)
+    letters = _fold()[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    if len(beyond):
+        known, back = np.unique(points[beyond], return_inverse=True)
+        letters[beyond] = np.array([ord(c.lower()) if (c := chr(x)).isalpha() else 0 for x in known], np.uint32)[back]
     end = np.repeat(at[1:], np.diff(at))
     place = np.arange(len(letters))
     h = np.zeros(len(letters), np.uint32)
@@ -57,52 +62,56 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.nd
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(12)
         x *= np.uint32(0x297A2D39)
-        yield (x >> np.uint32(32 - BITS))[good].astype(np.int64), np.concatenate(([0], np.cumsum(good)))[np.minimum(at, len(h))]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names: dict[str, int] = {}
-    sums = np.zeros((0, 1 << BITS), np.int64)
-    docs: list[int] = []
-    for batch in batches:
-        langs = batch.column("lang").to_pylist()
-        for x in langs:
-            if x not in names:
-                names[x] = len(names)
-                docs.append(0)
-        if len(names) > MAX_LANGUAGES:
-            raise ValueError(f"over {MAX_LANGUAGES} languages")
-        if len(names) > len(sums):
-            sums = np.vstack([sums, np.zeros((len(names) - len(sums), 1 << BITS), np.int64)])
-        code = np.array([names[x] for x in langs], np.int64)
-        for c, n in zip(*np.unique(code, return_counts=True)):
-            docs[c] += int(n)
-        data, offsets = buffers(batch.column("text"))
-        for i, j in chunks(offsets):
-            part = data[offsets[i] : offsets[j]]
-            for grams, at in ngram_buckets(part, offsets[i : j + 1] - offsets[i]):
-                of = np.repeat(code[i:j], np.diff(at))
-                sums += np.bincount(of * (1 << BITS) + grams, minlength=sums.size).reshape(sums.shape)
-    for name, k in names.items():
-        there = np.flatnonzero(sums[k])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * (len(there) + 1), pa.string()), pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(sums[k][there], docs[k]), pa.int64())], ["lang", "bucket", "n"]
-        )
+        yield (x >> np.uint32(32 - bits))[good].astype(np.int64), np.concatenate(([0], np.cumsum(good)))[np.minimum(at, len(h))]
+
+
+def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """text, lang -> lang, bucket (-1: documents), n, summed over a task's rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[str, int] = {}
+        sums = np.zeros((0, 1 << bits), np.int64)
+        docs: list[int] = []
+        for batch in batches:
+            langs = batch.column("lang").to_pylist()
+            for x in langs:
+                if x not in names:
+                    names[x] = len(names)
+                    docs.append(0)
+            if len(names) > len(sums):
+                sums = np.vstack([sums, np.zeros((len(names) - len(sums), 1 << bits), np.int64)])
+            code = np.array([names[x] for x in langs], np.int64)
+            for c, n in zip(*np.unique(code, return_counts=True)):
+                docs[c] += int(n)
+            data, offsets = buffers(batch.column("text"))
+            for i, j in chunks(offsets):
+                part = data[offsets[i] : offsets[j]]
+                there, local = np.unique(code[i:j], return_inverse=True)
+                for grams, at in ngram_buckets(part, offsets[i : j + 1] - offsets[i], bits):
+                    of = np.repeat(local, np.diff(at))
+                    sums[there] += np.bincount((of << bits) + grams, minlength=len(there) << bits).reshape(len(there), -1)
+        for name, k in names.items():
+            there = np.flatnonzero(sums[k])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * (len(there) + 1), pa.string()), pa.array(np.append(there, -1), pa.int32()), pa.array(np.append(sums[k][there], docs[k]), pa.int64())], ["lang", "bucket", "n"]
+            )
+
+    return count
 
 
 class Model:
     """Sorted language names, log-probabilities (languages x buckets) and log priors."""
 
-    def __init__(self, names: list[str], counts: np.ndarray, docs: np.ndarray) -> None:
-        self.names = names
+    def __init__(self, names: list[str], counts: np.ndarray, docs: np.ndarray, bits: int = BITS) -> None:
+        self.names, self.bits = names, bits
         totals = counts.sum(axis=1, keepdims=True)
-        self.log_p = np.log(counts + ALPHA) - np.log(totals + ALPHA * (1 << BITS))
+        self.log_p = np.log(counts + ALPHA) - np.log(totals + ALPHA * (1 << bits))
         self.prior = np.log(np.maximum(docs, 1)) - np.log(max(1, docs.sum()))
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The index of the likeliest language of each row (of equals the first by name) and its posterior."""
         total = np.tile(self.prior, (len(offsets) - 1, 1))
-        for grams, at in ngram_buckets(data, offsets):
+        for grams, at in ngram_buckets(data, offsets, self.bits):
             rows = np.flatnonzero(np.diff(at))
             if len(rows):
                 for k in range(len(self.names)):
@@ -115,19 +124,19 @@ class Model:
 def fit(training: DataFrame) -> Model:
     """``training`` has text and lang; rows without a lang or a text are passed over."""
     rows = training.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    found = rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    languages = rows.select("lang").distinct().count()
+    bits = max(LEAST_BITS, min(BITS, (MOST_NUMBERS // max(1, languages)).bit_length() - 1))
+    found = rows.mapInArrow(_counter(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang = found.column("lang").to_pylist()
     names = sorted(set(lang))
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
     code = {x: i for i, x in enumerate(names)}
     row = np.array([code[x] for x in lang], np.int64)
     bucket, n = found.column("bucket").to_numpy(), found.column("n").to_numpy()
-    counts, docs = np.zeros((len(names), 1 << BITS)), np.zeros(len(names))
+    counts, docs = np.zeros((len(names), 1 << bits)), np.zeros(len(names))
     grams = bucket >= 0
     counts[row[grams], bucket[grams]] = n[grams]
     docs[row[~grams]] = n[~grams]
-    return Model(names, counts, docs)
+    return Model(names, counts, docs, bits)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:

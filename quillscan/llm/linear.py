@@ -47,38 +47,77 @@ def feature_rows(batches: Iterator[pa.RecordBatch], gaps: bool) -> Iterator[pa.R
             )
 
 
+class Rows:
+    """Sparse rows: the buckets of each, one after the other."""
+
+    def __init__(self, rows: list[np.ndarray]) -> None:
+        self.n = len(rows)
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.begin = np.concatenate(([0], np.cumsum(self.size)))
+        self.flat = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For some rows: which of them (0, 1, ...) and which bucket each feature is of."""
+        size = self.size[which]
+        ends = np.cumsum(size)
+        at = np.repeat(self.begin[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return np.repeat(np.arange(len(which)), size), self.flat[at]
+
+
 class Ftrl:
     """Logistic regression by FTRL-proximal: a rate for each coordinate, and an L1 term that leaves most weights at zero.
 
-    Feature values are 1 for presence. Extra dense features come after the hashed ones.
+    A feature that is present has the value of its log-odds between the targets (how much more often it occurs with one than
+    with the other, over the training rows), so that few telling words count for more than many common ones. Extra dense
+    features come after the hashed ones. Rows are fitted a batch at once.
     """
 
+    BATCH = 16
+
     def __init__(self, extra: int = 0, alpha: float = 0.3, l1: float = 1.0, l2: float = 0.1, bits: int = BITS) -> None:
         self.dims = (1 << bits) + extra + 1  # the last is the bias
+        self.extra = extra
         self.alpha, self.l1, self.l2 = alpha, l1, l2
         self.weights = np.zeros(self.dims)
 
-    def fit(self, rows: list[np.ndarray], targets: np.ndarray, extra: np.ndarray | None = None, epochs: int = 6, seed: int = 1) -> Ftrl:
+    def fit(self, rows: Rows, targets: np.ndarray, extra: np.ndarray | None = None, epochs: int = 6, seed: int = 1, which: np.ndarray | None = None) -> Ftrl:
+        """``which``: the rows to fit on, by default all; ``targets`` and ``extra`` are of all rows."""
         z, n = np.zeros(self.dims), np.zeros(self.dims)
         rng = np.random.default_rng(seed)
-        width = 0 if extra is None else extra.shape[1]
-        tail = np.arange(self.dims - 1 - width, self.dims)
+        which = np.arange(rows.n) if which is None else which
+        tail = np.arange(self.dims - 1 - self.extra, self.dims)
+        value = self._log_odds(rows, targets, which)
         for _ in range(epochs):
-            for k in rng.permutation(len(rows)):
-                at = np.concatenate((rows[k], tail))
-                x = np.ones(len(at))
-                if width:
-                    x[len(rows[k]) : -1] = extra[k]
-                w = self._weights(z[at], n[at])
-                w[-1] = -z[-1] / ((1.0 + np.sqrt(n[-1])) / self.alpha)  # no penalty on the bias
-                p = 1.0 / (1.0 + np.exp(-np.clip(w @ x, -35, 35)))
-                g = (p - targets[k]) * x
-                z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / self.alpha * w
-                n[at] += g * g
+            order = which[rng.permutation(len(which))]
+            for part in (order[k : k + self.BATCH] for k in range(0, len(order), self.BATCH)):
+                of, at = rows.take(part)
+                dense = np.ones((len(part), self.extra + 1))
+                if self.extra:
+                    dense[:, :-1] = extra[part]
+                used, back = np.unique(at, return_inverse=True)
+                w, v = self._weights(z[used], n[used]), self._tail(z, n, tail)
+                s = np.bincount(of, weights=(w * value[used])[back], minlength=len(part)) + dense @ v
+                error = 1.0 / (1.0 + np.exp(-np.clip(s, -35, 35))) - targets[part]
+                for place, g, now in ((used, np.bincount(back, weights=error[of], minlength=len(used)) * value[used], w), (tail, error @ dense, v)):
+                    z[place] += g - (np.sqrt(n[place] + g * g) - np.sqrt(n[place])) / self.alpha * now
+                    n[place] += g * g
         self.weights = self._weights(z, n)
-        self.weights[-1] = -z[-1] / ((1.0 + np.sqrt(n[-1])) / self.alpha)
+        self.weights[: len(value)] *= value
+        self.weights[tail] = self._tail(z, n, tail)
         return self
 
+    def _log_odds(self, rows: Rows, targets: np.ndarray, which: np.ndarray) -> np.ndarray:
+        of, at = rows.take(which)
+        buckets, y = self.dims - 1 - self.extra, targets[which]
+        yes, no = (np.bincount(at, weights=t[of], minlength=buckets) for t in (y, 1 - y))
+        return np.log((yes + 1) / (y.sum() + 2)) - np.log((no + 1) / ((1 - y).sum() + 2))
+
+    def _tail(self, z: np.ndarray, n: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        """Weights of the dense features and the bias, on which there is no L1 penalty."""
+        w = -z[tail] / ((1.0 + np.sqrt(n[tail])) / self.alpha + self.l2)
+        w[-1] = -z[tail[-1]] / ((1.0 + np.sqrt(n[tail[-1]])) / self.alpha)
+        return w
+
     def _weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.where(np.abs(z) > self.l1, -(z - np.sign(z) * self.l1) / ((1.0 + np.sqrt(n)) / self.alpha + self.l2), 0.0)
 

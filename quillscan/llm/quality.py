@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristics vote good, poor or nothing on each document. Documents are grouped by their votes, over all rows;
-expectation-maximisation on the groups estimates how reliably each heuristic votes on good and on poor documents, and
-each group's posterior. A hashed linear scorer, trained on the posteriors of a bounded sample, then scores all rows.
+expectation-maximisation on the groups estimates how reliably each heuristic votes on good documents and on each kind of
+poor ones (a kind for each heuristic, which is what that heuristic was made to catch; the others may see it too), and each
+group's posterior. A hashed linear scorer, trained on the posteriors of a bounded sample, then scores all rows.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.kernels import U, buffers, chunks, mix, powers, word_hashes
-from quillscan.llm.linear import Ftrl, feature_rows, text_features
+from quillscan.llm.linear import Ftrl, Rows, feature_rows, text_features
 
 #: Documents on whose posteriors the scorer is trained (expected number; at most twice as many).
 SAMPLE = 4000
-FALSE_ALARMS, CAUGHT = 0.001, (0.1, 0.5)
+#: Pseudo-counts (poor, good) of votes before any is seen: on good documents, on a heuristic's own kind, on other kinds. They
+#: are of about one document, so they decide nothing where there are documents to count.
+PRIOR_GOOD, PRIOR_OWN, PRIOR_OTHER = (0.1, 10.0), (1.0, 0.1), (0.1, 1.0)
 _STOP = "the of and to in is that for it was on with as by le la les de des et un une que en du der die das und ist nicht zu den ein eine el los las del por con se su no"
 HEURISTICS = ("symbols", "bars", "digits", "capitals", "shouting", "stops", "ended", "repeats", "echoes", "empty")
 
@@ -82,7 +85,7 @@ def vote_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         "ended": ((lines > 1) & (ended < 0.2 * some), (lines > 0) & (ended > 0.6 * some)),
         "repeats": ((lines > 3) & (distinct < 0.5 * some), (lines > 3) & (distinct > 0.9 * some)),
         "echoes": ((words >= 8) & (echoes > 0.3), echoes < 0.05),
-        "empty": (words == 0, np.zeros(n, bool)),
+        "empty": (words == 0, words > 0),
     }
     code = np.zeros(n, np.int64)
     for k, name in enumerate(HEURISTICS):
@@ -91,29 +94,40 @@ def vote_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return code
 
 
-def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def posteriors(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Of vote patterns (patterns x heuristics; 0 none, 1 poor, 2 good) with their counts: the probability of good, and
-    the estimated P(vote is good | voted, class) by heuristic and class (poor, good).
+    the estimated P(vote is poor | voted, class) by heuristic and class (good, then the kinds of poor).
 
-    Whoever doesn't vote says nothing. A group with a vote for poor begins as poor. Estimates are held within what the
-    heuristics are made for: each accuses few good documents (a share of at most ``FALSE_ALARMS``) and some of the poor
-    ones, of its own kind (``CAUGHT``); else two that fire on the same documents would form a class of their own.
+    Whoever doesn't vote says nothing, but that a document isn't of the kind that this heuristic was made for. A group begins
+    among the kinds whose heuristics vote poor, else as good. With two classes only, heuristics that fire on different
+    documents would contradict each other, and but one of them be believed.
     """
-    voted, good = patterns > 0, patterns == 2
-    p = np.where((patterns == 1).any(axis=1), 0.1, 0.9)
-    says = np.zeros((patterns.shape[1], 2))
+    n, h = patterns.shape
+    voted, good, poor = (patterns > 0).astype(float), (patterns == 2).astype(float), (patterns == 1).astype(float)
+    accusers = poor.sum(axis=1)
+    share = np.zeros((n, h + 1))
+    share[:, 0] = np.where(accusers > 0, 0.02, 0.98)
+    share[:, 1:] = np.where(accusers[:, None] > 0, 0.98 * poor / np.maximum(accusers, 1)[:, None], 0.02 / h)
+    yes, no = np.full((h, h + 1), PRIOR_OTHER[0]), np.full((h, h + 1), PRIOR_OTHER[1])
+    yes[:, 0], no[:, 0] = PRIOR_GOOD
+    np.fill_diagonal(yes[:, 1:], PRIOR_OWN[0])
+    np.fill_diagonal(no[:, 1:], PRIOR_OWN[1])
+    says, own = np.zeros((h, h + 1)), (np.arange(h), np.arange(1, h + 1))
     for _ in range(rounds):
-        weight = np.stack([(1 - p) * counts, p * counts], axis=1)
-        says = (good.T.astype(float) @ weight + [0.5, 1.0]) / (voted.T.astype(float) @ weight + [1.0, 1.01])
-        says[:, 1] = np.clip(says[:, 1], 1 - FALSE_ALARMS, 1 - 1e-4)
-        says[:, 0] = np.clip(says[:, 0], 1 - CAUGHT[1], 1 - CAUGHT[0])
-        prior = (weight.sum(axis=0) + 1.0) / (weight.sum() + 2.0)
-        logs = good @ np.log(says) + (voted & ~good) @ np.log1p(-says) + np.log(prior)
-        new = 1.0 / (1.0 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-        if np.abs(new - p).max() < 1e-9:
+        weight = share * counts[:, None]
+        votes = voted.T @ weight
+        votes[own] = weight[:, 1:].sum(axis=0)
+        says = np.clip((poor.T @ weight + yes) / (votes + yes + no), 1e-12, 1 - 1e-12)  # logarithms below
+        prior = (weight.sum(axis=0) + 0.5) / (weight.sum() + 0.5 * (h + 1))
+        logs = poor @ np.log(says) + good @ np.log1p(-says) + np.log(prior)
+        logs[:, 1:] += (1 - voted) * np.log1p(-says[own])
+        new = np.exp(logs - logs.max(axis=1, keepdims=True))
+        new /= new.sum(axis=1, keepdims=True)
+        moved = np.abs(new - share).max(initial=0.0)
+        share = new
+        if moved < 1e-7:
             break
-        p = new
-    return p, says
+    return share[:, 0], says
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +149,8 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, weak_label (the posterior of its votes, 0 to 1), score (of the linear
     scorer, 0 to 1) and kept (their mean is at least one half).
 
-    A null text counts as empty, which is poor. Repeated rows count and are returned as often as they occur.
+    A null text counts as empty, which is poor. Repeated rows count and are returned as often as they occur; long texts are
+    read whole, in time and memory linear in them.
     """
     spark = docs.sparkSession
     groups = docs.select("text").mapInArrow(_count, "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most 3 ** heuristics
@@ -151,7 +166,7 @@ def quality_scores(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     trained = drawn.mapInArrow(lambda b: feature_rows(((pa.RecordBatch.from_arrays([x.column(1), x.column(0)], ["text", "votes"])) for x in _vote(b)), True), "buckets array<int>, counts array<int>, votes long").toArrow()
     rows, votes = [np.array(x, np.int64) for x in trained.column("buckets").to_pylist()], trained.column("votes").to_numpy()
     order = sorted(range(len(rows)), key=lambda k: (int(rows[k].sum()) * 2654435761 % 2**32, len(rows[k]), int(votes[k])))  # not the order of arrival
-    model = Ftrl(alpha=0.1, l1=0.5).fit([rows[k] for k in order], posterior[votes[order]] if order else np.zeros(0))
+    model = Ftrl(alpha=0.1, l1=0.5).fit(Rows([rows[k] for k in order]), posterior[votes[order]] if order else np.zeros(0))
     shared = spark.sparkContext.broadcast((model, posterior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

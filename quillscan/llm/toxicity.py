@@ -2,7 +2,9 @@
 
 Categories are predicted one after the other. Each model after the first also takes the probabilities of the categories
 before it; while training, these are out-of-fold predictions, so that a model sees probabilities as honest as those it
-will get. Training takes a bounded sample of labelled rows; scoring takes whole texts of all rows.
+will get. The table of labels tells only whether a document is toxic; which category of toxicity a toxic document is of is
+told by lexicons, on the labelled documents alone. Training takes a bounded sample of labelled rows; scoring takes whole
+texts of all rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.kernels import buffers, chunks
-from quillscan.llm.linear import Ftrl, feature_rows, text_features
+from quillscan.llm.linear import Ftrl, Rows, feature_rows, text_features
+from quillscan.session import fresh
 
 #: Labelled documents to train on (expected number; at most twice as many), and folds.
 SAMPLE, FOLDS = 6000, 3
@@ -30,23 +33,21 @@ class Chain:
         self.models: list[Ftrl] = []
         self.thresholds: list[float] = []
 
-    def fit(self, rows: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> Chain:
+    def fit(self, features: list[np.ndarray], labels: np.ndarray, folds: int = FOLDS) -> Chain:
         """``labels``: rows x categories, 1, 0 or nan (not labelled: not learnt from)."""
-        n = len(rows)
+        rows, n = Rows(features), len(features)
         fold = np.arange(n) % folds
         earlier = np.zeros((n, 0))
-        at = np.repeat(np.arange(n), [len(r) for r in rows]) if n else np.zeros(0, np.int64)
-        flat = np.concatenate(rows) if n else np.zeros(0, np.int64)
+        at, flat = rows.take(np.arange(n))
         for k in range(len(self.categories)):
             y, known = labels[:, k], ~np.isnan(labels[:, k])
             out = np.zeros(n)
             for f in range(folds):
-                train = np.flatnonzero(known & (fold != f))
-                model = Ftrl(earlier.shape[1]).fit([rows[i] for i in train], y[train], earlier[train], _EPOCHS)
+                model = Ftrl(k).fit(rows, y, earlier, _EPOCHS, which=np.flatnonzero(known & (fold != f)))
                 mine = fold == f
                 out[mine] = model.score(at, flat, n, earlier)[mine]
             train = np.flatnonzero(known)
-            self.models.append(Ftrl(earlier.shape[1]).fit([rows[i] for i in train], y[train], earlier[train], _EPOCHS))
+            self.models.append(Ftrl(k).fit(rows, y, earlier, _EPOCHS, which=train))
             self.thresholds.append(_best_threshold(out[train], y[train]))
             earlier = np.column_stack([earlier, out])
         return self
@@ -70,17 +71,22 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], sample: int = SAMPLE) -> Chain:
-    """``categories``: name -> SQL for 1, 0 or null over the columns of ``labels`` (doc_id, ...), in the chain's order.
+    """``categories``: name -> SQL for 1, 0 or null over the columns of ``labels`` (doc_id, ...) and the text, in the chain's
+    order. The text's words are in ``words``, lower-cased.
 
     Several labels of a document count as their maximum; documents that repeat an id each count.
     """
-    of = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(*(F.max(F.expr(sql).cast("double")).alias(f"y{k}") for k, sql in enumerate(categories.values())))
+    given = [c for c in labels.columns if c != "doc_id"]
+    of = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("of")).agg(*(F.max(c).alias(c) for c in given))
     rate = min(1.0, sample / max(1, of.count()))
     drawn = of.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < int(rate * (1 << 30)) + 1).limit(2 * sample)
     # at most 2 * sample rows of a few numbers: the bound makes it safe to broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("of"))
+    texts = docs.select("doc_id", "text", F.split(F.lower("text"), r"[^\p{L}]+").alias("words"))
+    for c in given:  # a label may be called as a column of the documents is
+        drawn = drawn.withColumnRenamed(c, fresh(c, ["doc_id", "text", "words", "of"]))
+    joined = texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("of"))
     names = [f"y{k}" for k in range(len(categories))]
-    chosen = joined.select("text", "doc_id", *names)
+    chosen = joined.select("text", "doc_id", *(F.expr(sql).cast("double").alias(c) for c, sql in zip(names, categories.values())))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"buckets array<int>, counts array<int>, doc_id {kind}, " + ", ".join(f"{c} double" for c in names)
     t = chosen.mapInArrow(lambda b: feature_rows(b, False), schema).toArrow()
@@ -113,11 +119,21 @@ def predict_toxicity(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} double' for c in names)}, flagged boolean")
 
 
-#: The table of labels has one column for toxicity; the chain's first category is what else it says.
-CATEGORIES = {"poor": "1 - quality", "toxic": "toxic"}
+#: Words by which a document that is labelled toxic is told to be of a category (fixed values; English, as an example of what
+#: a user brings). A document is toxic by its label alone.
+LEXICON = {
+    "insult": "idiot moron stupid fool dumb imbecile loser clown scum jerk",
+    "contempt": "worthless pathetic disgusting trash garbage useless vile filth",
+    "threat": "kill hurt die destroy shoot burn punch attack",
+}
+CATEGORIES = {name: f"CASE WHEN toxic = 0 THEN 0 WHEN toxic = 1 THEN int(coalesce(arrays_overlap(words, split('{words}', ' ')), false)) END" for name, words in LEXICON.items()} | {"toxic": "toxic"}
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per row doc_id, p_poor, p_toxic, toxic, kept (not toxic). Without labels nothing is toxic."""
+    """Per row doc_id, p_insult, p_contempt, p_threat, p_toxic, toxic, kept (not toxic). Without labels nothing is toxic.
+
+    A null text is an empty one. Repeated rows count in training as often as they are labelled, and are returned as often as
+    they occur; long texts are read whole, in time and memory linear in them.
+    """
     found = predict_toxicity(docs, fit_chain(docs, labels, CATEGORIES))
-    return found.select("doc_id", "p_poor", "p_toxic", F.col("flagged").alias("toxic"), (~F.col("flagged")).alias("kept"))
+    return found.select("doc_id", *(f"p_{c}" for c in CATEGORIES), F.col("flagged").alias("toxic"), (~F.col("flagged")).alias("kept"))

@@ -41,7 +41,35 @@ def test_parser():
     assert L.parse("MIT or (Apache-2.0 and BSD)") == ["mit", "apache-2.0", "bsd", "and", "or"]
     assert L.parse("a or b and c") == ["a", "b", "c", "and", "or"] and L.parse("and") is None and L.parse("(a") is None
     assert L.parse("a or") == ["a"] and L.parse("a b") == ["a"]
-    assert L.evaluate(L.parse("a and (b or c)")) == [frozenset("ab"), frozenset("ac")]
+
+
+def choices(rpn):
+    """All alternatives of an expression, each a set of licences that all hold."""
+    stack = []
+    for t in rpn:
+        if t not in ("or", "and", "with"):
+            stack.append([{t}])
+            continue
+        right, left = stack.pop(), stack.pop()
+        stack.append(left + right if t == "or" else [a | b for a in left for b in right] if t == "and" else [{f"{min(a)} with {min(b)}"} for a in left for b in right])
+    return stack[0]
+
+
+def test_evaluation_against_all_choices():
+    for text in ("a", "a or b", "a and (b or c)", "(a or b) and (a or c)", "(a and b) or (a and c)", "a with x or a with x and b", "(a or a) and (b or (c and b))"):
+        rpn = L.parse(text)
+        terms, every = L.evaluate(rpn), choices(rpn)
+        assert terms.offered == set().union(*every) and terms.required >= set.intersection(*every) - terms.offered | terms.required
+        if text != "(a or b) and (a or c)":  # what only together is in every choice isn't told by either side
+            assert terms.required == set.intersection(*every)
+    many = L.evaluate(L.parse(" or ".join(f"l{k} and m{k}" for k in range(3000))))
+    assert len(many.offered) == 6000 and not many.required
+
+
+def test_a_tag_needs_its_hyphens_and_colon(spark):
+    rows = ["SPDX License Identifier: MIT", "SPDX-License-Identifier MIT", "x SPDX-License-Identifier:\tMIT AND (ISC OR Zlib) */\nfoo", "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: 0BSD"]
+    got = [(r.labels, r.required, r.expressions) for r in L.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == [("", "", ""), ("", "", ""), ("isc,mit,zlib", "mit", "mit and (isc or zlib) */"), ("0bsd,mit", "0bsd,mit", "mit\n0bsd")]
 
 
 def test_empty_table(spark):
