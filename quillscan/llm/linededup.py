@@ -153,8 +153,8 @@ def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (block, line, label, words), sorted by block, ``BLOCK`` a block at most -> links (a, b) across labels, as a
-    forest."""
+    """Rows of (block, line, label, words), sorted by block, some ``BLOCK`` of one label and as many others at most -> links
+    (a, b) across labels, as a forest."""
     for t in sorted_groups(batches):
         line, label = (t.column(c).to_numpy() for c in ("line", "label"))
         words = [np.frombuffer(x, "<i8") for x in t.column("words").to_pylist()]
@@ -179,7 +179,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, line, label, path, words -> the same of the blocks into which the key's other places are cut.
+    """key, line, label, path, words -> key, line, label, path of the blocks into which the key's other places are cut.
 
     ``path``: the blocks taken so far. ``done``: the lines of the new key agree in all but the places that may differ.
     """
@@ -193,11 +193,11 @@ def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b, part in enumerate(np.array_split(free, differ + 1)):
                 h = mix(np.append(w[part], np.array([key, b], np.int64).view(U)) + np.arange(len(part) + 2, dtype=U) * U(0x9E3779B97F4A7C15))
                 new = int(mix(np.bitwise_xor.reduce(h, keepdims=True)).view(np.int64)[0])
-                out.append((new, line, label, [*path, b], packed, len(free) - len(part) <= differ))
+                out.append((new, line, label, [*path, b], len(free) - len(part) <= differ))
         if out:
             columns = list(zip(*out))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "line", "label", "path", "words", "done"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "line", "label", "path", "done"])
 
 
 def open_places(n: int, path: list[int]) -> tuple[np.ndarray, int]:
@@ -221,31 +221,40 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["of", "words"])
 
 
-_BLOCK_ROWS = "key long, line long, label long, path array<int>, words binary"
+def _sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, line, label, path) of the keys with several labels: also n (lines of the key), main (the label of most
+    of them), others (lines of other labels) and first (the smallest line)."""
+    by_label = rows.groupBy(F.col("key").alias("of"), "label").agg(F.count("*").alias("mine"), F.min("line").alias("first"))
+    keys = by_label.groupBy("of").agg(F.sum("mine").alias("n"), F.max(F.struct("mine", "label")).alias("most"), F.min("first").alias("first"), F.count("*").alias("labels")).where("labels > 1 AND n > 2")
+    return rows.join(keys, F.col("key") == F.col("of")).withColumn("main", F.col("most.label")).withColumn("others", F.col("n") - F.col("most.mine")).drop("of", "most", "labels")
 
 
 def open_links(shared: DataFrame, labels: DataFrame, exact: DataFrame) -> DataFrame:
     """Pairs (a, b) of one template in those blocks of ``shared`` that still hold several of the components ``labels``.
 
-    A block of at most ``BLOCK`` lines is compared inside a task. The lines of a larger one go to finer blocks (one more
-    than places that may differ, so that lines that agree share one), and again while these are large and hold several
-    components; where all places but those that may differ are equal, each line is linked with the smallest.
+    A block of at most ``BLOCK`` lines is compared inside a task. If a larger one has one main component and at most
+    ``BLOCK`` other lines, these are compared with each part of it. The lines of any other block go to finer blocks (one
+    more than places that may differ, so that lines that agree share one), and again while these are large and hold
+    several components; where all places but those that may differ are equal, each line is linked with the smallest.
     """
-    placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", "number", "line", F.coalesce("label", "line").alias("label")))
-    sizes = lambda rows: rows.groupBy(F.col("key").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min("line").alias("first")).where("low < high")
-    open_ = stored(placed.join(sizes(placed).where("n > 2"), F.col("key") == F.col("of")).select("key", F.array("number").alias("path"), "line", "label", "n"))
-    wanted = open_.select(F.col("line").alias("want")).distinct()
+    placed = shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", F.array("number").alias("path"), "line", F.coalesce("label", "line").alias("label"))
+    rows = stored(_sized(stored(placed)))
+    wanted = rows.select(F.col("line").alias("want")).distinct()
     packed = stored(exact.join(wanted, F.col("line") == F.col("want"), "left_semi").select("line", "words").mapInArrow(_packed, "of long, words binary"))
-    rows = open_.join(packed, F.col("line") == F.col("of")).select("key", "line", "label", "path", "words", "n")
+    with_words = lambda df: df.join(packed, F.col("line") == F.col("of")).drop("of")
+    few, split = F.col("n") <= BLOCK, F.col("others") <= BLOCK
+    parts = F.when(few, 1).otherwise(F.ceil((F.col("n") - F.col("others")) / BLOCK)).cast("int")
+    mine = F.when(F.col("label") == F.col("main"), F.array(F.pmod(F.xxhash64("line", F.lit(1)), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     found = []
     while True:
-        few = rows.where(F.col("n") <= BLOCK).select("key", "line", "label", "words")
-        found.append(stored(few.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "a long, b long").distinct()))
-        large = rows.where(F.col("n") > BLOCK)
+        dealt = rows.where(few | split).withColumn("parts", parts).select(F.col("key"), F.explode(mine).alias("part"), "line", "label")
+        dealt = with_words(dealt.select(F.xxhash64("key", "part").alias("block"), "line", "label"))
+        found.append(stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct()))
+        large = rows.where(~few & ~split)
         if not large.limit(1).count():
             return reduce(DataFrame.union, found)
-        finer = stored(large.select("key", "line", "label", "path", "words").mapInArrow(_finer, f"{_BLOCK_ROWS}, done boolean"))
-        rows = stored(finer.join(sizes(finer), F.col("key") == F.col("of")).select("key", "line", "label", "path", "words", "done", "n", "first"))
+        finer = with_words(large.select("key", "line", "label", "path")).select("key", "line", "label", "path", "words").mapInArrow(_finer, "key long, line long, label long, path array<int>, done boolean")
+        rows = stored(_sized(stored(finer)))
         found.append(stored(rows.where("done AND line <> first").select(F.col("first").alias("a"), F.col("line").alias("b")).distinct()))
         rows = rows.where("NOT done")
 
