@@ -225,7 +225,7 @@ def _sized(rows: DataFrame) -> DataFrame:
     """``rows`` (key, line, label, path) of the keys with several labels: also n (lines of the key), main (the label of most
     of them), others (lines of other labels) and first (the smallest line)."""
     by_label = rows.groupBy(F.col("key").alias("of"), "label").agg(F.count("*").alias("mine"), F.min("line").alias("first"))
-    keys = by_label.groupBy("of").agg(F.sum("mine").alias("n"), F.max(F.struct("mine", "label")).alias("most"), F.min("first").alias("first"), F.count("*").alias("labels")).where("labels > 1 AND n > 2")
+    keys = by_label.groupBy("of").agg(F.sum("mine").alias("n"), F.max(F.struct("mine", "label")).alias("most"), F.min("first").alias("first"), F.count("*").alias("labels")).where("labels > 1")
     return rows.join(keys, F.col("key") == F.col("of")).withColumn("main", F.col("most.label")).withColumn("others", F.col("n") - F.col("most.mine")).drop("of", "most", "labels")
 
 
@@ -238,7 +238,7 @@ def open_links(shared: DataFrame, labels: DataFrame, exact: DataFrame) -> DataFr
     several components; where all places but those that may differ are equal, each line is linked with the smallest.
     """
     placed = shared.join(labels.withColumnRenamed("node", "of"), F.col("line") == F.col("of"), "left").select("key", F.array("number").alias("path"), "line", F.coalesce("label", "line").alias("label"))
-    rows = stored(_sized(stored(placed)))
+    rows = stored(_sized(stored(placed)).where("n > 2"))  # two lines are a leader and the other
     wanted = rows.select(F.col("line").alias("want")).distinct()
     packed = stored(exact.join(wanted, F.col("line") == F.col("want"), "left_semi").select("line", "words").mapInArrow(_packed, "of long, words binary"))
     with_words = lambda df: df.join(packed, F.col("line") == F.col("of")).drop("of")
