@@ -2,28 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALLOW_MARKERS = ("quillscan:allow", "gitleaks:allow")
 
 
-def _entropy(text: Column, n: Column) -> Column:
-    """The counts of characters over ``n``, summed in order of the characters; a character is counted by removing it."""
-    chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
-    share = lambda c: (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c) / n
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c))))
+#: Elements that a running sum adds up at once; the sums of so many are added up in turn.
+_STEP = 128
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` where the value is computed once for a row, however often (and in whatever lambda) ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def running_sum(values: Column) -> Column:
+    """The sums of an array of ints up to each place, in two levels: a fold that appends to an array would copy it each time."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, v: acc + v)
+
+    def summed(v: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _STEP).cast("int"))
+        sums = F.transform(parts, lambda j: total(F.slice(v, j * _STEP + 1, F.lit(_STEP))))
+        heads = let(sums, lambda s: F.transform(s, lambda _, j: total(F.slice(s, F.lit(1), j))))
+        return let(heads, lambda h: F.transform(v, lambda _, i: F.get(h, F.floor(i / _STEP).cast("int")) + total(F.slice(v, i - i % _STEP + 1, i % _STEP + 1))))
+
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(let(values, summed))
+
+
+def keyword_pattern(words: Sequence[str]) -> str:
+    """A pattern that at each place of a text captures the longest of ``words`` that stands there, by their common prefixes.
+
+    Words that begin with others imply them.
+    """
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [(c if c.isalnum() else f"\\x{{{ord(c):x}}}") + pattern(node[c]) for c in sorted(node) if c]
+        return (f"(?:{'|'.join(parts)}){'?' if '' in node else ''}" if len(parts) > 1 or "" in node else parts[0]) if parts else ""
+
+    return f"(?=({pattern(tree)}))"
+
+
+def _entropy(text: Column, size: Callable[[Column], Column]) -> Column:
+    """The counts of characters over ``size``, summed in order of the characters; a character is counted by removing it."""
+
+    def bits(t: Column) -> Column:
+        chars = F.array_sort(F.array_distinct(F.filter(F.split(t, ""), lambda c: c != "")))
+        shares = let(size(t).cast("double"), lambda n: F.transform(chars, lambda c: (F.octet_length(t) - F.octet_length(F.replace(t, c, F.lit("")))) / F.octet_length(c) / n))
+        return F.when(F.length(t) == 0, F.lit(0.0)).otherwise(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)))
+
+    return let(text, bits)
 
 
 def shannon_entropy(secret: Column) -> Column:
     """Bits per symbol: the counts of characters over the length in bytes."""
-    return _entropy(secret, F.octet_length(secret).cast("double"))
+    return _entropy(secret, F.octet_length)
 
 
 def byte_entropy(secret: Column) -> Column:
     """Bits per byte over a histogram of bytes."""
-    latin = F.decode(F.encode(secret, "UTF-8"), "ISO-8859-1")  # a character a byte
-    return _entropy(latin, F.length(latin).cast("double"))
+    return _entropy(F.decode(F.encode(secret, "UTF-8"), "ISO-8859-1"), F.length)  # a character a byte
 
 
 def fingerprint(file: Column, rule: Column, line: Column, commit: Column) -> Column:
@@ -88,6 +134,55 @@ def location(content: Column, start: Column, end: Column, first_line: Column) ->
     }
 
 
+def match_places(content: Column, parts: Column, trimmed: Callable[[Column], Column]) -> Column:
+    """Of ``parts`` (gap, m: a text cut into gaps and the matches after them, null after the last) the places of the matches:
+    structs of m, start, end (of the match without line feeds at its edges, counted from its start), before and upto (line
+    feeds before these places), and below, above, next (places of the last line feed before each, and of the first one from
+    the end on; 0 and the text's size if there is none).
+
+    All are sums over the parts and over the lines, so that a text takes time in proportion to its size and its matches.
+    """
+    feeds = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit("\n")))
+    size = lambda x: F.coalesce(F.octet_length(x), F.lit(0))
+    ends = running_sum(F.transform(parts, lambda p: F.octet_length(p["gap"]) + size(p["m"])))
+    lines = running_sum(F.transform(parts, lambda p: feeds(p["gap"]) + F.coalesce(feeds(p["m"]), F.lit(0))))
+    # where line feeds stand: each ends a line, but for the last one
+    at = F.transform(running_sum(F.transform(F.split(content, "\n", -1), lambda x: F.octet_length(x) + 1)), lambda x: x - 1)
+
+    def one(p: Column, i: Column, e: Column, n: Column, a: Column) -> Column:
+        start, before = F.get(e, i) - size(p["m"]), F.get(n, i) - feeds(p["m"])
+        inside = F.substring(p["m"].cast("binary"), F.lit(1), F.octet_length(trimmed(p["m"]))).cast("string")
+        upto = before + feeds(inside)
+        place = lambda k: F.when(k > 0, F.get(a, k - 1)).otherwise(0)
+        return F.struct(p["m"].alias("m"), start.alias("start"), (start + F.octet_length(inside)).alias("end"), before.alias("before"), upto.alias("upto"), place(before).alias("below"), place(upto).alias("above"), F.get(a, upto).alias("next"))
+
+    placed = let(ends, lambda e: let(lines, lambda n: let(at, lambda a: F.transform(parts, lambda p, i: one(p, i, e, n, a)))))
+    return F.filter(placed, lambda x: x["m"].isNotNull())
+
+
+def match_location(content: Column, whole: Column, place: Column, total: Column, first_line: Column) -> dict[str, Column]:
+    """What ``location`` tells, from ``match_places`` and the number of line feeds in ``content``; only the bytes of the
+    line are looked at."""
+    start, end = place["start"], place["end"]
+    at_start = F.startswith(whole, F.lit("\n"))
+    first = place["before"] + F.when(at_start, 1).otherwise(0)
+    none = total == 0
+    tail = (first >= total) & ~none
+    crossing = ~tail & ~none & (place["upto"] >= total)
+    feed = F.when(at_start, start).otherwise(place["below"])
+    raw = content.cast("binary")
+    cut = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+    rest = F.element_at(F.split(cut(end, F.octet_length(content)), "[\r\n]", 2), 1)
+    line = F.when(tail | none, F.concat(cut(F.lit(0), end), rest)).otherwise(cut(feed, place["next"]))
+    return {
+        "start_line": (first + first_line).cast("int"),
+        "end_line": (F.when(none | tail | crossing, first).otherwise(place["upto"]) + first_line).cast("int"),
+        "start_column": (start - feed + 1).cast("int"),
+        "end_column": F.when(crossing, F.lit(0)).otherwise(end - F.when(tail | none, feed).otherwise(place["above"])).cast("int"),
+        "line": line,
+    }
+
+
 def github_pat_state(secret: Column) -> Column:
     """Offline layout check of a classic personal access token: valid, invalid or unknown."""
     return F.when(secret.rlike(r"\Aghp_[A-Za-z0-9]{36}\z"), "valid").when(F.startswith(secret, F.lit("ghp_")), "invalid").otherwise("unknown")

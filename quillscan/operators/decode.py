@@ -182,8 +182,8 @@ def detect_decoded(df: DataFrame, rules: RuleSet, options: D.Options = D.Options
     return found.select(*D.REPORT, F.col("depth").alias("decode_depth"))
 
 
-def relocated(rows: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-    """Matches that touch freshly decoded text (or are of no pass), the text that their places refer to, and the places."""
+def relocated(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Matches that touch freshly decoded text (or are of no pass), and their locations in the original text."""
     start, end = F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int")
     touched = F.filter("segments", lambda s: s["fresh"] & (s["start"] <= end) & (start <= s["end"]))
     rows = rows.withColumn("touched", touched).where((F.col("depth") == 0) | (F.size("touched") > 0))
@@ -191,4 +191,5 @@ def relocated(rows: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
     rows = rows.withColumn("bits", F.coalesce(bits, F.lit(0))).drop("touched")
     first = F.when(F.col("depth") == 0, start).otherwise(_mapped(start, False))
     last = F.when(F.col("depth") == 0, end).otherwise(_mapped(end, True))
-    return rows.withColumn("first_byte", first).withColumn("last_byte", last).drop("segments"), F.col("original"), F.col("first_byte"), F.col("last_byte")
+    rows = rows.withColumn("first_byte", first).withColumn("last_byte", last).drop("segments")
+    return rows, T.location(F.col("original"), F.col("first_byte"), F.col("last_byte"), F.col("start_line"))

@@ -1,7 +1,8 @@
 """The detection plan: gates, match generation, secrets, filters, locations, relations and suppression.
 
-Rules are literals of the plan: a fragment passes a rule's cheap gates before its regular expression (compiled once a
-task) is tried, and is exploded only into the rules that match it. Up to the findings nothing is shuffled, and the text
+Rules are literals of the plan: one pass over a fragment finds the keywords of all rules; it passes a rule's cheap gates
+before its regular expression (compiled once a task) is tried, and is exploded only into the rules that match it. The
+places of a text's matches come from sums over its parts and lines, in time linear in the text and its matches. Up to the findings nothing is shuffled, and the text
 goes no further than that; relations and suppression are equi-joins by fragment of the stored findings, so that the text is
 scanned once.
 """
@@ -76,11 +77,24 @@ def _named(allows: list[Column]) -> Column:
     return ((F.length("file_path") > 0) | (F.length("commit") > 0)) & _any(allows)
 
 
-def _gate(rule: Rule, options: Options) -> Column:
+#: Up to so many keywords each is looked for by itself, which is faster than a pattern of all.
+_FEW = 8
+
+
+def _searched(frags: DataFrame, content: list[Rule]) -> tuple[DataFrame, list[str]]:
+    """``frags`` with the lower-cased text, or with the keywords in it (the longest at each place) if the rules have many."""
+    keywords = sorted({k for r in content for k in r.keywords if k})
+    if len(keywords) <= _FEW:
+        return frags.withColumn("low", F.lower("content")), []
+    return frags.withColumn("seen", F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(T.keyword_pattern(keywords)), F.lit(1)))), keywords
+
+
+def _gate(rule: Rule, options: Options, keywords: list[str]) -> Column:
     """Cheap gates of a rule: keywords, path, size, allowlists of commits and paths."""
     parts = []
     if rule.keywords and rule.regex:
-        parts.append(_any([F.contains(F.col("low"), F.lit(k)) for k in rule.keywords if k]))
+        words = [k for k in rule.keywords if k]
+        parts.append(F.arrays_overlap("seen", F.array(*(F.lit(k) for k in keywords if any(k.startswith(w) for w in words)))) if keywords else _any([F.contains(F.col("low"), F.lit(w)) for w in words]))
     if rule.path:
         parts.append(F.col("file_path").rlike(to_java(rule.path)))
     if options.max_target_bytes is not None:
@@ -109,8 +123,9 @@ def content_rules(rules: RuleSet) -> list[Rule]:
 
 def opened(frags: DataFrame, content: list[Rule], options: Options) -> DataFrame:
     """(fragment_id, rule_no) of the rules whose cheap gates open."""
-    gates = F.array(*(F.when(_gate(r, options), F.lit(k)) for k, r in enumerate(content)))
-    return frags.withColumn("low", F.lower("content")).select("fragment_id", F.explode(F.filter(gates, lambda x: x.isNotNull())).alias("rule_no"))
+    searched, keywords = _searched(frags, content)
+    gates = F.array(*(F.when(_gate(r, options, keywords), F.lit(k)) for k, r in enumerate(content)))
+    return searched.select("fragment_id", F.explode(F.filter(gates, lambda x: x.isNotNull())).alias("rule_no"))
 
 
 def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
@@ -119,22 +134,16 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
     content = content_rules(rules)
     if allow := [_gate_allows(a) for a in rules.allowlists if a.commits or a.paths]:
         frags = frags.where(~_named(allow))
-    lowered = frags.withColumn("low", F.lower("content"))
-    open_ = F.filter(F.array(*(F.when(_gate(r, options) & F.col("content").rlike(r.java), F.lit(k)) for k, r in enumerate(content))), lambda x: x.isNotNull())
-    hits = lowered.select(*frags.columns, F.explode(open_).alias("rule_no"))
+    searched, keywords = _searched(frags, content)
+    open_ = F.filter(F.array(*(F.when(_gate(r, options, keywords) & F.col("content").rlike(r.java), F.lit(k)) for k, r in enumerate(content))), lambda x: x.isNotNull())
+    hits = searched.select(*frags.columns, F.explode(open_).alias("rule_no"))
     hits = hits.withColumn("pattern", F.get(F.array(*(F.lit(r.java) for r in content)), F.col("rule_no")))
-    # a match ends where all gaps and matches up to it end
     parts = F.arrays_zip(F.regexp_extract_all("content", F.col("pattern"), F.lit(0)).alias("m"), F.split("content", F.col("pattern"), -1).alias("gap"))
-    none = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<m:string,end:int>>").alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["end"] + F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["m"]), F.lit(0))
-        more = F.concat(acc["found"], F.array(F.struct(x["m"].alias("m"), end.alias("end"))))
-        return F.struct(end.alias("end"), F.when(x["m"].isNotNull(), more).otherwise(acc["found"]).alias("found"))
-
-    rows = hits.select(*frags.columns, "rule_no", "pattern", F.explode(F.aggregate(parts, none, step)["found"]).alias("part"))
-    rows = rows.withColumn("whole", F.col("part.m")).withColumn("start", F.col("part.end") - F.octet_length("part.m")).drop("part")
-    rows = rows.withColumn("match", F.regexp_replace("whole", r"\A\n+|\n+\z", ""))
+    trimmed = lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", "")
+    feeds = F.octet_length("content") - F.octet_length(F.replace("content", F.lit("\n")))
+    rows = hits.select(*frags.columns, "rule_no", "pattern", feeds.alias("feeds"), F.explode(T.let(parts, lambda p: T.match_places(F.col("content"), p, trimmed))).alias("place"))
+    rows = rows.withColumn("whole", F.col("place.m")).withColumn("start", F.col("place.start"))
+    rows = rows.withColumn("match", trimmed(F.col("whole")))
     lead = F.octet_length("whole") - F.octet_length(F.regexp_replace("whole", r"\A\n+", ""))
     rows = rows.withColumn("match_start", F.col("start") + lead).withColumn("match_end", F.col("start") + lead + F.octet_length("match"))
     groups, chosen = (F.get(F.array(*(F.lit(v) for v in x)), F.col("rule_no")) for x in ([r.groups for r in content], [r.secret_group for r in content]))
@@ -145,15 +154,15 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
     # where the secret stands first in its match
     offset = F.octet_length(F.call_function("substring_index", F.col("match"), F.col("secret"), F.lit(1)))
     rows = rows.withColumn("secret_start", F.when(F.length("secret") > 0, F.col("match_start") + offset)).withColumn("secret_end", F.col("secret_start") + F.octet_length("secret"))
-    return rows.drop("pattern", "whole")
+    return rows.drop("pattern")
 
 
-def in_place(rows: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
-    """Matches, the text that their places refer to, and where they start (with leading line feeds) and end."""
-    return rows, F.col("content"), F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int")
+def in_place(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """Matches, and their locations."""
+    return rows, T.match_location(F.col("content"), F.col("whole"), F.col("place"), F.col("feeds"), F.col("start_line"))
 
 
-def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), places: Callable[[DataFrame], tuple[DataFrame, Column, Column, Column]] = in_place) -> DataFrame:
+def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), places: Callable[[DataFrame], tuple[DataFrame, dict[str, Column]]] = in_place) -> DataFrame:
     """Matches that pass entropy, allow markers and allowlists, with locations; helpers (skip_report) among them."""
     content = content_rules(rules)
     pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule_no"))
@@ -166,10 +175,10 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), p
                 kind, least = r.byte_entropy
                 rows = rows.where((F.col("rule_no") != k) | (F.col("bytes_h") >= least if kind == "lt" else F.col("bytes_h") > least))
         rows = rows.drop("bytes_h")
-    rows, text, first, last = places(rows)
-    for name, column in T.location(text, first, last, F.col("start_line")).items():
+    rows, located = places(rows)
+    for name, column in located.items():
         rows = rows.withColumn({"start_line": "first_line"}.get(name, name), column)
-    rows = rows.drop("start_line", "content", "original").withColumnRenamed("first_line", "start_line")
+    rows = rows.drop("start_line", "content", "original", "whole", "place", "feeds").withColumnRenamed("first_line", "start_line")
     if options.honor_allow_markers:
         rows = rows.where(~T.has_allow_marker(F.col("line")))
     for a in rules.allowlists:
