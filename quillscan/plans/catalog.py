@@ -88,6 +88,24 @@ def required_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("fragment_id", "start_line", "match_start", F.size("required_findings").cast("long").alias("n_helpers"))
 
 
+def same_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that a stricter helper rule matches at the very same place."""
+    extra = f"required = [{{id = 'strict', relation = 'same-candidate'}}]\n[[rules]]\nid = 'strict'\nregex = '''{PATTERN}'''\nentropy = 3.75\nskipReport = true\n"
+    return D.detect(document_fragments(spark, sf_dir), rules(extra)).select(*_BRIEF)
+
+
+def match_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with a capitalised word that starts within two lines of the whole match, its own included."""
+    extra = "required = [{id = 'long-word', withinLines = 2, relation = 'window'}]\n[[rules]]\nid = 'long-word'\nregex = '''\\b[A-Z][a-z]{5,}\\b'''\nskipReport = true\n"
+    found = D.detect(document_fragments(spark, sf_dir), rules(extra))
+    return found.select("fragment_id", "start_line", "match_start", F.size("required_findings").cast("long").alias("n_helpers"))
+
+
+def target_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content rules pass over texts of more bytes than a limit."""
+    return D.detect(document_fragments(spark, sf_dir), rules(), D.Options(max_target_bytes=3000)).select(*_BRIEF)
+
+
 def ignore_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.detect(document_fragments(spark, sf_dir), rules())
     entries = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(9)))).select(F.concat_ws(":", F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt")), F.lit("hex-token"), "line").alias("entry"))
@@ -114,6 +132,33 @@ def rule_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy(F.get(names, F.col("rule_no")).alias("rule_id")).agg(F.count("*").alias("n"), F.sum(F.octet_length("match")).alias("bytes"))
 
 
+#: Rules of the pack whose tokens are a prefix and letters that a hash has: rule, prefix, length, upper case.
+SAMPLES = [
+    ("adobe-client-secret", "p8e-", 32, False), ("anthropic-api-key", "sk-ant-api03-", 95, False), ("aws-access-key", "AKIA", 16, True), ("databricks-api-token", "dapi", 32, False),
+    ("digitalocean-pat", "dop_v1_", 64, False), ("doppler-api-token", "dp.pt.", 43, False), ("easypost-api-token", "EZAK", 54, False), ("gcp-api-key", "AIza", 35, False),
+    ("github-app-token", "ghs_", 36, False), ("github-fine-grained-pat", "github_pat_", 82, False), ("github-oauth", "gho_", 36, False), ("github-pat", "ghp_", 36, False),
+    ("gitlab-pat", "glpat-", 20, False), ("gitlab-ptt", "glptt-", 40, False), ("gitlab-rrt", "GR1348941", 20, False), ("grafana-cloud-api-token", "glc_", 60, False),
+    ("infracost-api-token", "ico-", 32, False), ("linear-api-key", "lin_api_", 40, False), ("npm-access-token", "npm_", 36, False), ("octopus-deploy-api-key", "API-", 26, True),
+    ("openshift-user-token", "sha256~", 43, False), ("prefect-api-token", "pnu_", 36, False), ("pulumi-api-token", "pul-", 40, False), ("readme-api-token", "rdme_", 70, False),
+    ("rubygems-api-token", "rubygems_", 48, False), ("scalingo-api-token", "tk-us-", 48, False), ("sentry-user-token", "sntryu_", 64, False), ("shopify-access-token", "shpat_", 32, False),
+    ("stripe-access-token", "sk_live_", 24, False), ("twilio-api-key", "SK", 32, False),
+    ("datadog-access-token", "datadog_key = ", 40, False), ("fastly-api-token", "FASTLY: ", 32, False), ("okta-access-token", "okta-token => 00", 40, False), ("zendesk-secret-key", "zendesk.secret := ", 40, False),
+]
+
+
+def pack_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of many providers, made from order keys, found by their rules."""
+    key = F.col("o_orderkey").cast("string")
+    digits = F.concat(F.sha2(key, 256), F.sha2(F.concat(key, F.lit("x")), 256))
+    which = (F.col("o_orderkey") % len(SAMPLES)).cast("int")
+    pick = lambda k: F.get(F.array(*(F.lit(x[k]) for x in SAMPLES)), which)
+    cut = F.substring(digits, F.lit(1), pick(2))
+    text = F.concat(F.lit("first\nthen "), pick(1), F.when(pick(3), F.translate(F.upper(cut), "0189", "GHIJ")).otherwise(cut), F.lit(" end\n"))
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fragment_id"), text.alias("content"))
+    found = D.detect(f, default_rules().select([x[0] for x in SAMPLES]))
+    return found.select("fragment_id", "rule_id", "start_line", "start_column", "match_start", "secret")
+
+
 def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens in pages, whose quotes are escaped."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("fragment_id"), F.col("url").alias("file_path"), F.replace("html", F.lit("&quot;"), F.lit('"')).alias("content"))
@@ -121,8 +166,8 @@ def page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Access keys put into the assistant's turns."""
-    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    """Access keys put into all turns."""
+    c = table(spark, sf_dir, "conversations")
     key = F.concat(F.lit(" AKIA"), F.upper(F.substring(F.translate(F.md5(F.col("conv_id").cast("string")), "0189", "GHIJ"), 1, 16)), F.lit(" "))
     f = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("fragment_id"), F.concat("text", key, "text").alias("content"))
     return D.detect(f, default_rules().select(["aws-access-key"])).select("fragment_id", "rule_id", "start_line", "secret", "match_start")
@@ -143,7 +188,7 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as review records of customers' occurrences."""
     c = table(spark, sf_dir, "customer").select(F.md5(F.col("c_custkey").cast("string")).alias("fingerprint"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = table(spark, sf_dir, "orders")
     records = o.select(F.col("o_orderkey").alias("record_id"), F.md5((F.col("o_custkey") + F.col("o_orderkey") % 2 * 1000000).cast("string")).alias("fingerprint"), F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise("p1").alias("policy"), F.when(F.col("o_orderkey") % 7 == 0, "old").otherwise("o1").alias("options"), F.concat(F.lit("n"), (F.col("o_orderkey") % 2 * 3).cast("string")).alias("source"), F.when(F.col("o_orderkey") % 11 == 0, 5).cast("long").alias("expires"))
     return S.review_states(c, records, "p1", "o1", 10).groupBy("kind", "state").agg(F.count("*").alias("n"))
 
@@ -182,7 +227,7 @@ def _encoded(how: str) -> Callable[[SparkSession, str], DataFrame]:
     """Tokens made from order keys, encoded in one of five ways, found in decoded text with places in the encoded one."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 1")
+        o = table(spark, sf_dir, "orders")
         plain = F.concat(F.lit('token = "'), F.sha1(F.col("o_orderkey").cast("string")), F.lit('"'))
         raw = F.encode(plain, "UTF-8")
         text = {
@@ -212,6 +257,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "allowlist_and": _documents(_BRIEF, extra=_AND),
     "allowlist_commit": _documents(_BRIEF, before=f"[[allowlists]]\ncommits = ['{COMMIT.upper()}']\n"),
     "allowlist_path": _documents(_BRIEF, before="[[allowlists]]\npaths = ['^src1[0-9]/']\n"),
+    "rule_allowlist_path": _documents(_BRIEF, extra="[[rules.allowlists]]\npaths = ['^src[0-4]/']\n"),
+    "byte_entropy_gate": _documents(_BRIEF, extra="byteEntropy = 3.7\n", entropy=0),
+    "same_candidate": same_candidate,
+    "match_window": match_window,
+    "target_limit": target_limit,
+    "pack_findings": pack_findings,
     "allow_marker": allow_marker,
     "fingerprints": _documents(["fragment_id", "match_start", "fingerprint"]),
     "redacted_findings": redacted_findings,

@@ -82,7 +82,7 @@ SELECT p_partkey, CASE platform
 def _reviews() -> str:
     return """WITH c AS (SELECT md5(CAST(c_custkey AS VARCHAR)) AS fp, 'n' || c_nationkey AS src FROM customer),
 r AS (SELECT o_orderkey AS id, md5(CAST(o_custkey + o_orderkey % 2 * 1000000 AS VARCHAR)) AS fp, o_orderkey % 5 = 0 AS old_policy, o_orderkey % 7 = 0 AS old_options, 'n' || (o_orderkey % 2 * 3) AS src, o_orderkey % 11 = 0 AS expired
-  FROM orders WHERE o_orderkey % 3 = 0),
+  FROM orders),
 k AS (SELECT id, r.fp, CASE WHEN old_policy THEN 'stale-policy' WHEN old_options THEN 'stale-options' WHEN c.fp IS NOT NULL AND c.src <> r.src THEN 'stale-source' WHEN expired THEN 'expired'
   WHEN c.fp IS NOT NULL THEN 'active' ELSE 'stale-occurrence' END AS state FROM r LEFT JOIN c ON r.fp = c.fp),
 n AS (SELECT fp FROM c WHERE fp NOT IN (SELECT fp FROM k WHERE state = 'active'))
@@ -96,7 +96,26 @@ def _encoded(how: str) -> str:
     length = {"hex": f"length({hexed})", "base64": f"length(base64(encode({plain})))", "nested": f"length(base64(encode({hexed})))", "percent": f"length({plain}) + 10", "unicode": f"7 * length({plain})"}[how]
     tags = {"nested": "decoded:hex,decoded:base64,decode-depth:2"}.get(how, f"decoded:{how},decode-depth:1")
     # columns of a later line count from the line feed before it: x: and a blank stand before the value
-    return f"SELECT o_orderkey AS fragment_id, sha1(CAST(o_orderkey AS VARCHAR)) AS secret, 1 AS start_line, 5 AS start_column, CAST(4 + {length} AS INTEGER) AS end_column, '{tags}' AS tags FROM orders WHERE o_orderkey % 20 = 1"
+    return f"SELECT o_orderkey AS fragment_id, sha1(CAST(o_orderkey AS VARCHAR)) AS secret, 1 AS start_line, 5 AS start_column, CAST(4 + {length} AS INTEGER) AS end_column, '{tags}' AS tags FROM orders"
+
+
+def _pack() -> str:
+    """Each rule over all texts, whichever token was put there."""
+    from quillscan.plans.catalog import SAMPLES
+
+    rows = ", ".join(f"({k}, {_quoted(p)}, {n}, {u})" for k, (_, p, n, u) in enumerate(SAMPLES))
+    names = {x[0] for x in SAMPLES}
+    each = [
+        f"SELECT k, {_quoted(r.id)} AS rule_id, t, regexp_extract(t, {_quoted(r.regex)}, 0) AS m, regexp_extract(t, {_quoted(r.regex)}, 1) AS secret, {r.entropy} AS least FROM src WHERE regexp_matches(t, {_quoted(r.regex)}) AND {_gate(r)}"
+        for r in default_rules().rules
+        if r.id in names
+    ]
+    return f"""WITH s(i, p, n, u) AS (VALUES {rows}),
+o AS (SELECT o_orderkey AS k, sha256(CAST(o_orderkey AS VARCHAR)) || sha256(o_orderkey || 'x') AS d FROM orders),
+src AS (SELECT k, 'first' || chr(10) || 'then ' || p || CASE WHEN u THEN translate(upper(left(d, n)), '0189', 'GHIJ') ELSE left(d, n) END || ' end' || chr(10) AS t FROM o JOIN s ON k % {len(SAMPLES)} = i),
+f AS ({' UNION ALL '.join(each)})
+SELECT k AS fragment_id, rule_id, 1 AS start_line, CAST(strpos(t, m) - 5 AS INTEGER) AS start_column, CAST(strpos(t, m) - 1 AS INTEGER) AS match_start, secret FROM f
+WHERE least = 0 OR {_entropy('secret')} > least"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -108,7 +127,7 @@ UNION ALL SELECT fid, 'hex-token', line_no, CAST(s AS INTEGER), secret FROM f"""
     masked = "left(secret, 10) || '...'"
     pages = "SELECT page_id AS fid, url AS file, '' AS commit, replace(html, '&quot;', '\"') AS t FROM pages"
     key = "upper(substr(translate(md5(CAST(conv_id AS VARCHAR)), '0189', 'GHIJ'), 1, 16))"
-    talks = f"SELECT conv_id * 1000 + turn AS fid, '' AS file, '' AS commit, text || ' AKIA' || {key} || ' ' || text AS t FROM conversations WHERE role = 'assistant'"
+    talks = f"SELECT conv_id * 1000 + turn AS fid, '' AS file, '' AS commit, text || ' AKIA' || {key} || ' ' || text AS t FROM conversations"
     access = next(r for r in default_rules().rules if r.id == "aws-access-key").regex
     out = {
         "generic_token_findings": f"WITH {_found()} SELECT {_BRIEF}, round(CAST(CAST(h AS FLOAT) AS DOUBLE), 4) AS entropy FROM f",
@@ -129,6 +148,12 @@ UNION ALL SELECT fid, 'hex-token', line_no, CAST(s AS INTEGER), secret FROM f"""
         "redacted_findings": f"WITH {_found()} SELECT fid AS fragment_id, CAST(s AS INTEGER) AS match_start, replace(match, secret, {masked}) AS match, {masked} AS secret, commit || ':' || file || ':hex-token:' || line_no AS fingerprint FROM f",
         "generic_suppression": generic,
         "required_proximity": f"WITH {_found()}, {_found(pattern='(' + chr(92) + 'b[A-Z][a-z]{5,}' + chr(92) + 'b)', keyword='', entropy=None, name='h')} SELECT f.fid AS fragment_id, f.line_no AS start_line, CAST(f.s AS INTEGER) AS match_start, count(*) AS n_helpers FROM f JOIN h ON f.fid = h.fid AND abs(f.line_no - h.line_no) <= 2 GROUP BY ALL",
+        "rule_allowlist_path": _brief("NOT regexp_matches(file, '^src[0-4]/')"),
+        "byte_entropy_gate": _brief("h >= 3.7", entropy=None),
+        "same_candidate": _brief("h > 3.75"),
+        "match_window": f"WITH {_found()}, {_found(pattern='(' + chr(92) + 'b[A-Z][a-z]{5,}' + chr(92) + 'b)', keyword='', entropy=None, name='h')} SELECT f.fid AS fragment_id, f.line_no AS start_line, CAST(f.s AS INTEGER) AS match_start, count(*) AS n_helpers FROM f JOIN h ON f.fid = h.fid AND abs(f.line_no - h.line_no) <= 1 GROUP BY ALL",
+        "target_limit": _brief("strlen(t) <= 3000"),
+        "pack_findings": _pack(),
         "ignore_set": _brief("NOT (fid % 3 = 0 AND line_no <= 9)"),
         "baseline_diff": _brief("fid % 2 = 0"),
         "presentation_groups": f"""WITH {_found()}, {_found(pattern='"([0-9a-f]{40})"', keyword='"', entropy=None, name='q')}, u AS (SELECT fid, s + 9 AS s, secret, 'hex-token' AS r FROM f UNION ALL SELECT fid, s + 1, secret, 'quoted-value' FROM q)

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from quillscan.functions.dialect import PatternError, group_count, to_java
+from quillscan.rules import families
 
 MAX_DEPTH, MAX_RULES = 2, 4096
 
@@ -159,7 +160,9 @@ def load(text: str, resolve: Callable[[str], str] | None = None, default: str |
     """A rule set from TOML. ``resolve`` reads the file that [extend] path names, ``default`` is what useDefault means;
     an extension beyond the second level is passed over."""
     x = _lowered(tomllib.loads(text))
-    rules = [_rule(r) for r in _list(x.get("rules"))]
+    # [families] builtin: the rules that are built from parameters come first
+    built = families.rules() if _bool((x.get("families") or {}).get("builtin", False)) else []
+    rules = [_rule(r) for r in [*built, *_list(x.get("rules"))]]
     if len({r.id for r in rules}) < len(rules):
         raise ConfigError("two rules of one id")
     own = RuleSet(tuple(rules), _allowlists(x, "global"), _text(x.get("title")))

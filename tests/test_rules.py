@@ -1,11 +1,13 @@
 """Rule sets, and the dialect against RE2 (DuckDB's engine)."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillscan.functions.dialect import PatternError, group_count, to_java
-from quillscan.rules import ConfigError, default_rules, load
+from quillscan.rules import ConfigError, default_rules, families, load
 
 PATTERNS = [
     r"a$", r"(?m)^b$", r"\bfoo\b", r"\s+x", r"[\s,]y", r".+", r"a{2}", r"a{,2}", r"x{y}", r"\$\{[a-z]+\}", r"[a[b]+", r"[a&&b]+", r"[[:alpha:]]+", r"[^[:digit:]]+", r"(?P<n_1>z)+", r"(?i)straße", r"(?i:A)b", r"(?s:.)q", r"a*?b", r"\Qa.b\E",
@@ -70,4 +72,19 @@ def test_selection_keeps_helpers_silent():
 
 
 def test_the_pack_is_valid():
-    assert len(default_rules().rules) > 70
+    assert len(default_rules().rules) > 200
+
+
+@pytest.mark.parametrize("line", [x for x in (families.TOKENS + families.ASSIGNED).splitlines() if x])
+def test_built_rules_find_what_has_the_form_and_nothing_shorter(line):
+    name, *rest, kind, length, _ = line.split()
+    rule = next(r for r in families.rules() if r["id"] == name)
+    prefix = {"[0-9]{5,16}:A": "123456:A", "A{22}": "A" * 22, "(?:sq[apu]_)?": "squ_", "-": ""}.get(rest[-1])
+    prefix = prefix if prefix is not None else re.sub(r"\(\?:([^|)]*)[^)]*\)|\[(.)[^]]*\]", r"\1\2", rest[-1])
+    least = int(length.split("-")[0])
+    letter = {"digit": "7", "upper": "Q", "HEX": "A", "bech32": "Q"}.get(kind, "a")
+    before = "" if len(rest) == 1 else rest[0].split("|")[-1] + "_x = '"
+    good, bad = (f"x\n{before}{prefix}{letter * n}'\n" for n in (least, least - 1))
+    found = re.search(rule["regex"], good)
+    assert found and found[1] == prefix + letter * least and not re.search(rule["regex"], bad)
+    assert any(k in good.lower() for k in rule["keywords"])
