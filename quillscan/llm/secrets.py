@@ -8,14 +8,17 @@ pre-aggregated to one blob before any text moves; the join back is a plain equi-
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.java_gateway import JavaObject
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillscan.session import stored
+from quillscan.session import scratch_dir, stored
 
 
 @dataclass(frozen=True)
@@ -100,64 +103,68 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES, unseen: str |
 
 
 class Ledger:
-    """Two Parquet tables in a folder: ``pairs`` (blob_id, rule) that were scanned, ``findings`` that this gave.
+    """A folder of batches, each of two Parquet tables: ``pairs`` (blob_id, rule) that were scanned, ``findings`` (also the
+    rule's key) that this gave.
 
-    Batches are appended pairs last, so a scan that fails between the two is repeated and its findings, which are read
-    as distinct rows, stay right.
+    A batch counts once its name is in ``commits``, which is written last: what a failed scan leaves is never read.
     """
 
     def __init__(self, folder: str) -> None:
-        self.pairs_path, self.findings_path = f"{folder}/pairs", f"{folder}/findings"
+        self.folder = folder.rstrip("/")
 
-    def _read(self, df: DataFrame, path: str) -> DataFrame | None:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    def _files(self, spark: SparkSession) -> tuple[JavaObject, Callable[[str], JavaObject]]:
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        return path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration()), path
 
-    def pairs(self, df: DataFrame) -> DataFrame | None:
-        return self._read(df, self.pairs_path)
+    def batches(self, spark: SparkSession) -> list[str]:
+        fs, path = self._files(spark)
+        commits = path(f"{self.folder}/commits")
+        return sorted(f.getPath().getName() for f in fs.listStatus(commits)) if fs.exists(commits) else []
 
-    def findings(self, df: DataFrame) -> DataFrame | None:
-        return self._read(df, self.findings_path)
+    def _read(self, spark: SparkSession, table: str, schema: str) -> DataFrame:
+        paths = [f"{self.folder}/{b}/{table}" for b in self.batches(spark)]
+        return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
-    def append(self, findings: DataFrame, pairs: DataFrame) -> None:
-        findings.write.mode("append").parquet(self.findings_path)
-        pairs.write.mode("append").parquet(self.pairs_path)
+    def pairs(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "pairs", "blob_id string, rule string")
+
+    def findings(self, spark: SparkSession) -> DataFrame:
+        return self._read(spark, "findings", "blob_id string, kind string, version int, start int, end int")
 
+    def append(self, findings: DataFrame, pairs: DataFrame) -> None:
+        spark, name = findings.sparkSession, f"batch-{uuid.uuid4().hex}"
+        findings.select("blob_id", "kind", "version", F.col("start").cast("int"), F.col("end").cast("int")).write.parquet(f"{self.folder}/{name}/findings")
+        pairs.write.parquet(f"{self.folder}/{name}/pairs")
+        fs, path = self._files(spark)
+        fs.create(path(f"{self.folder}/commits/{name}"), False).close()
 
-def distinct_blobs(versions: DataFrame, key: str = "path") -> DataFrame:
-    """One row (blob_id, text) for each distinct text of ``versions`` (path, text), or a few for repeated rows.
 
-    Only ids and hashes are grouped; then each blob's text is taken from its smallest path. Hashing the join by path as
-    well spreads a hot blob's rows.
-    """
-    hashed = versions.select(F.col(key).alias("path"), "text", blob_id(F.col("text")).alias("blob_id"))
-    first = hashed.groupBy(F.col("blob_id").alias("of")).agg(F.min("path").alias("first"))
-    return hashed.join(first, F.expr("blob_id = of AND path <=> first"), "left_semi").select("blob_id", "text")
+def addressed(versions: DataFrame, key: str = "path") -> DataFrame:
+    """(path, blob_id) of each row of ``versions``, as a table: texts are hashed once for all that needs their addresses."""
+    return stored(versions.select(F.col(key).alias("path"), blob_id(F.col("text")).alias("blob_id")))
 
 
-def scan_versions(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: Ledger | None = None, key: str = "path") -> DataFrame:
+def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] = RULES, key: str = "path", addresses: DataFrame | None = None) -> DataFrame:
     """Findings by blob for all texts of ``versions`` (path, text); see ``findings_by_path`` for the join back.
 
-    With a ledger only unseen (blob, rule version) pairs are scanned; they are appended to it, and older findings of
-    these rule versions are read from it.
+    Only (blob, rule version) pairs that the ledger lacks are scanned: each such blob once, taken from its smallest path.
+    They are appended to the ledger, from which all findings of these rule versions in the present blobs are then read.
     """
-    blobs = distinct_blobs(versions, key)
-    if ledger is None:
-        return scan_blobs(blobs, rules)
-    keys = F.array(*(F.lit(r.key) for r in rules))
-    known = ledger.pairs(versions)
-    if known is None:
-        todo = blobs.withColumn("unseen", keys)
-    else:
-        had = known.groupBy("blob_id").agg(F.collect_set("rule").alias("had"))
-        todo = blobs.join(had, "blob_id", "left").withColumn("unseen", F.array_except(keys, F.coalesce("had", F.array().cast("array<string>")))).drop("had").where(F.size("unseen") > 0)
-    # a table: so that what is appended to the ledger below can't change what is scanned
-    todo = stored(todo.dropDuplicates(["blob_id"]))
-    ledger.append(scan_blobs(todo, rules, "unseen"), todo.select("blob_id", F.explode("unseen").alias("rule")))
-    present = versions.select(blob_id(F.col("text")).alias("blob_id")).distinct()
-    current = ledger.findings(versions).where(F.concat_ws("@", "kind", "version").isin([r.key for r in rules])).distinct()
-    return current.join(present, "blob_id", "left_semi")
+    spark = versions.sparkSession
+    addresses = addressed(versions, key) if addresses is None else addresses
+    present = addresses.groupBy("blob_id").agg(F.min("path").alias("first"))
+    keys = [r.key for r in rules]
+    had = ledger.pairs(spark).where(F.col("rule").isin(keys)).join(present.select("blob_id"), "blob_id", "left_semi").groupBy(F.col("blob_id").alias("had_id")).agg(F.collect_set("rule").alias("had"))
+    unseen = F.array_except(F.array(*map(F.lit, keys)), F.coalesce("had", F.array().cast("array<string>")))
+    # a table: what is appended to the ledger below can't change what is scanned
+    todo = stored(present.join(had, F.col("blob_id") == F.col("had_id"), "left").select(F.col("blob_id").alias("of"), "first", unseen.alias("unseen")).where(F.size("unseen") > 0))
+    if todo.limit(1).count():
+        hashed = versions.select(F.col(key).alias("path"), "text", blob_id(F.col("text")).alias("blob_id"))
+        # hashing by path as well spreads the rows of a hot blob
+        blobs = hashed.join(todo, F.expr("blob_id = of AND path <=> first")).select("blob_id", "text", "unseen")
+        ledger.append(scan_blobs(blobs, rules, "unseen"), todo.select(F.col("of").alias("blob_id"), F.explode("unseen").alias("rule")))
+    current = ledger.findings(spark).where(F.concat_ws("@", "kind", "version").isin(keys)).distinct()
+    return current.join(present.select("blob_id"), "blob_id", "left_semi")
 
 
 def findings_by_path(versions: DataFrame, findings: DataFrame, key: str = "path") -> DataFrame:
@@ -168,16 +175,19 @@ def findings_by_path(versions: DataFrame, findings: DataFrame, key: str = "path"
 def secret_digest(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text; a null text is empty): doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Repeated rows and equal texts under different ids are scanned once and returned as often as they occur.
+    Repeated rows and equal texts under different ids are scanned once and returned as often as they occur. ``ledger``: what
+    earlier scans know; by default an empty one in the shared folder.
     """
+    ledger = ledger or Ledger(f"{scratch_dir(docs.sparkSession)}/ledger-{uuid.uuid4().hex}")
+    addresses = addressed(docs, "doc_id")
     rank = F.create_map(*(F.lit(x) for i, r in enumerate(RULES) for x in (r.kind, i)))
-    findings = scan_versions(docs, RULES, ledger, "doc_id").select("blob_id", F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end").alias("f"))
+    findings = scan_versions(docs, ledger, RULES, "doc_id", addresses).select("blob_id", F.struct("start", rank[F.col("kind")].alias("rank"), "kind", "end").alias("f"))
     spans = F.array_sort(F.collect_list("f"))
     joined = lambda x: F.array_join(F.transform(x, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
     by_blob = findings.groupBy("blob_id").agg(spans.alias("f"), *(F.count(F.when(F.col("f.kind") == r.kind, 1)).alias(f"n_{r.kind}") for r in BASE))
     by_blob = by_blob.select("blob_id", *(f"n_{r.kind}" for r in BASE), F.sha2(joined(F.filter("f", lambda f: f["rank"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("f")).alias("spans"))
     # a table: then both sides of the join are plain exchanges, and the rows of a hot blob can be split among tasks
-    rows = docs.select("doc_id", blob_id(F.col("text")).alias("blob_id")).join(stored(by_blob), "blob_id", "left")
+    rows = addresses.select(F.col("path").alias("doc_id"), "blob_id").join(stored(by_blob), "blob_id", "left")
     return rows.select(
         "doc_id",
         *(F.coalesce(f"n_{r.kind}", F.lit(0).cast("long")).alias(f"n_{r.kind}") for r in BASE),

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillscan.llm import secrets as S
 
@@ -46,18 +47,29 @@ def test_empty_table(spark):
 def test_ledger_scans_only_unseen_pairs(spark, tmp_path):
     ledger = S.Ledger(str(tmp_path))
     v1 = spark.createDataFrame([("a", TEXTS[0]), ("b", TEXTS[0]), ("c", "clean")], "path string, text string")
-    first = S.scan_versions(v1, S.BASE, ledger)
-    assert first.count() == 4 and ledger.pairs(v1).count() == 2 * 3
+    first = S.scan_versions(v1, ledger, S.BASE)
+    assert first.count() == 4 and ledger.pairs(spark).count() == 2 * 3
     # the same texts and a new one: only the new one is scanned
     v2 = v1.union(spark.createDataFrame([("a", TEXTS[4])], "path string, text string"))
-    again = S.scan_versions(v2, S.BASE, ledger)
-    assert ledger.pairs(v1).count() == 3 * 3 and again.count() == 6
+    again = S.scan_versions(v2, ledger, S.BASE)
+    assert ledger.pairs(spark).count() == 3 * 3 and again.count() == 6
     paths = {(r.path, r.kind) for r in S.findings_by_path(v2, again).collect()}
     assert paths == {("a", "assign"), ("a", "hex"), ("b", "assign"), ("b", "hex"), ("a", "access")}
     # a raised version is scanned again, for all blobs, and replaces what the older one found
     raised = (*S.BASE[:2], S.Rule("hex", r"[0-9a-f]{41,}", 0, 41, version=2))
-    assert S.scan_versions(v2, raised, ledger).where("kind = 'hex'").count() == 0
-    assert ledger.pairs(v1).count() == 3 * 4
+    assert S.scan_versions(v2, ledger, raised).where("kind = 'hex'").count() == 0
+    assert ledger.pairs(spark).count() == 3 * 4
+
+
+def test_a_second_run_scans_nothing_and_finds_the_same(spark, tmp_path):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    ledger = S.Ledger(f"{tmp_path}/ledger")
+    first = sorted(map(tuple, S.secret_digest(df, ledger).collect()))
+    batches = ledger.batches(spark)
+    assert len(batches) == 1 and sorted(map(tuple, S.secret_digest(df, ledger).collect())) == first and ledger.batches(spark) == batches
+    # what a scan that failed before its commit has written is not read
+    df.select(F.lit("x").alias("blob_id"), F.lit("hex@1").alias("rule")).write.parquet(f"{tmp_path}/ledger/batch-torn/pairs")
+    assert ledger.pairs(spark).where("blob_id = 'x'").count() == 0
 
 
 @pytest.mark.parametrize("rule", S.RULES)
