@@ -40,7 +40,7 @@ def ignore_entries(text: str) -> tuple[list[str], list[str]]:
 def without_ignored(findings: DataFrame, ignored: DataFrame) -> DataFrame:
     """``findings`` without those whose file:rule:line, or that after their commit, is in ``ignored`` (entry)."""
     entries = ignored.select(F.col("entry").alias("ignored_entry")).distinct()
-    entries = broadcast_if_small(entries, 128)
+    entries = broadcast_if_small(entries)
     plain = F.concat_ws(":", "file", "rule_id", "start_line")
     left = findings.join(entries, plain == F.col("ignored_entry"), "left_anti")
     qualified = F.concat_ws(":", "commit", "file", "rule_id", "start_line")

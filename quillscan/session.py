@@ -47,15 +47,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` holds at most ``limit`` bytes; stops counting at the first row beyond."""
-    most = max(1, limit // row_bytes)
-    return df.limit(most + 1).count() <= most
+#: Bytes that any row takes in a broadcast table beside its values' own.
+_ROW = 32
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its counted size allows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if small_enough(df, row_bytes, limit) else df
+def small_enough(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` takes at most ``limit`` bytes (by default BROADCAST_BYTES): its rows are counted and measured, up to the
+    first row beyond that could lie within."""
+    limit = BROADCAST_BYTES if limit is None else limit
+    most = max(1, limit // _ROW)
+    size = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0)) + _ROW
+    n, total = df.limit(most + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return n <= most and (total or 0) <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size allows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if small_enough(df, limit) else df
 
 
 def fresh(name: str, columns: list[str]) -> str:
