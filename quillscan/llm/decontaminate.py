@@ -5,7 +5,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A be
 each window is then anchored at its rarest words, and only the anchors' postings (word, document, position) are stored,
 those of rarest words with the words around them. A search starts from the postings of a window's rarest word, adjusts
 them by its offset, intersects them with the next rarest word's, and compares the remaining offsets. No step holds more
-than one document or one posting at a time; joins are broadcast only if the benchmark's side is counted to be small.
+than one document or one posting at a time. The benchmark's side of a join is broadcast only if it is measured to be small;
+else the join shuffles words with their places, and no row of a word carries its document.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillscan.session import broadcast_if_small, fresh, stored
+from quillscan.session import broadcast_if_small, fresh, small_enough, stored
 
 WINDOW = 8
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,13 +29,14 @@ def words_of(text: Column) -> Column:
 
 
 def windows_of(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Distinct windows (words) with the ids of their items as text; items without words have none.
+    """Windows (wid: a hash of the words, words, item: an id as text), one row for each item; items without words have none.
 
     An item without an id counts for hits, but not as an item.
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("all"))
     runs = F.when(F.size("all") >= size, F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - size + 1, F.lit(1))), lambda i: F.slice("all", i, size))).otherwise(F.array("all"))
-    return items.where(F.size("all") > 0).select("item", F.explode(runs).alias("words")).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = items.where(F.size("all") > 0).select("item", F.explode(runs).alias("words"))
+    return rows.select(F.sha2(F.array_join("words", " "), 256).alias("wid"), "words", "item").distinct()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -45,18 +47,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of ``terms`` (term) occurs in all of ``docs``; terms that don't occur are left out."""
     tokens = _keyed(docs).select(F.explode("words").alias("term"))
-    return tokens.join(broadcast_if_small(terms, 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    return tokens.join(broadcast_if_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
 def anchored(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """``windows`` with their two rarest words t1, t2 and the offsets o1, o2 (null if the window is one word).
+    """Distinct ``windows`` (wid, words) with their two rarest words t1, t2 and the offsets o1, o2 (null if the window is one word).
 
     A window with a word that occurs nowhere is dropped: it has no occurrence.
     """
-    at = windows.select("words", "items", F.posexplode("words").alias("offset", "term")).join(counts, "term")
-    ranked = at.groupBy("words").agg(F.first("items").alias("items"), F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("by")).where(F.size("by") == F.size("words"))
+    at = windows.select("wid", "words", F.posexplode("words").alias("offset", "term")).join(counts, "term")
+    ranked = at.groupBy("wid").agg(F.first("words").alias("words"), F.array_sort(F.collect_list(F.struct("n", "term", "offset"))).alias("by")).where(F.size("by") == F.size("words"))
     get = lambda k, f: F.get("by", F.lit(k))[f]
-    return ranked.select("words", "items", get(0, "term").alias("t1"), get(0, "offset").alias("o1"), get(1, "term").alias("t2"), get(1, "offset").alias("o2"))
+    return ranked.select("wid", "words", get(0, "term").alias("t1"), get(0, "offset").alias("o1"), get(1, "term").alias("t2"), get(1, "offset").alias("o2"))
 
 
 def build_index(docs: DataFrame, anchors: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -64,21 +66,34 @@ def build_index(docs: DataFrame, anchors: DataFrame, size: int = WINDOW) -> Data
 
     ``around`` is set for rarest words only: up to ``size - 1`` words on either side, ``before`` of them before the word.
     """
-    at = _keyed(docs).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "term"))
-    hits = at.join(broadcast_if_small(anchors, 64), "term")
     before = F.least(F.col("pos"), F.lit(size - 1))
     around = F.when(F.col("rarest"), F.slice("words", F.col("pos") - before + 1, before + size))
-    return stored(hits.select("term", "doc_id", "h", "pos", around.alias("around"), before.alias("before")))
+    if small_enough(anchors):  # the join streams: a document's words are there once, whatever their number
+        at = _keyed(docs).select("doc_id", "h", "words", F.posexplode("words").alias("pos", "term"))
+        hits = at.join(F.broadcast(anchors), "term")
+        return stored(hits.select("term", "doc_id", "h", "pos", around.alias("around"), before.alias("before")))
+    # words with their places are shuffled; what stands around the rarest is then cut from each document at once
+    at = _keyed(docs).distinct().select("doc_id", "h", F.posexplode("words").alias("pos", "term"))
+    hits = stored(at.join(anchors, "term").select("term", "doc_id", "h", "pos", "rarest"))
+    wanted = hits.groupBy(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(F.struct("term", "pos", "rarest")).alias("hits"))
+    texts = _keyed(docs).join(wanted, F.expr("doc_id <=> of AND h = of_h"))
+
+    def posting(x: Column) -> Column:
+        lead = F.least(x["pos"], F.lit(size - 1))
+        return F.struct(x["term"].alias("term"), x["pos"].alias("pos"), F.when(x["rarest"], F.slice("words", x["pos"] - lead + 1, lead + size)).alias("around"), lead.alias("before"))
+
+    postings = texts.select("doc_id", "h", F.explode(F.transform("hits", posting)).alias("p"))
+    return stored(postings.select("p.term", "doc_id", "h", "p.pos", "p.around", "p.before"))
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """Exact occurrences (doc_id, h, start, n, items) of anchored ``windows`` in ``index``."""
-    rarest = index.where(F.col("around").isNotNull()).join(broadcast_if_small(windows, 400), F.col("term") == F.col("t1"))
-    aligned = rarest.select("doc_id", "h", (F.col("pos") - F.col("o1")).alias("start"), "words", "items", "t2", "o2", F.slice("around", F.greatest(F.col("before") - F.col("o1"), F.lit(0)) + 1, F.size("words")).alias("there")).where("start >= 0")
+    """Exact occurrences (doc_id, h, start, n, wid) of anchored ``windows`` in ``index``."""
+    rarest = index.where(F.col("around").isNotNull()).join(broadcast_if_small(windows), F.col("term") == F.col("t1"))
+    aligned = rarest.select("doc_id", "h", (F.col("pos") - F.col("o1")).alias("start"), "words", "wid", "t2", "o2", F.slice("around", F.greatest(F.col("before") - F.col("o1"), F.lit(0)) + 1, F.size("words")).alias("there")).where("start >= 0")
     second = index.select(F.col("term").alias("term2"), F.col("doc_id").alias("doc2"), F.col("h").alias("h2"), F.col("pos").alias("pos2"))
     both = aligned.where("t2 IS NOT NULL").join(second, F.expr("doc_id <=> doc2 AND h = h2 AND start + o2 = pos2 AND t2 = term2"), "left_semi")
     found = both.unionByName(aligned.where("t2 IS NULL"))
-    return found.where("there = words").select("doc_id", "h", "start", F.size("words").alias("n"), "items")
+    return found.where("there = words").select("doc_id", "h", "start", F.size("words").alias("n"), "wid")
 
 
 def proximity_matches(index: DataFrame, terms: list[str], distance: int) -> DataFrame:
@@ -100,16 +115,21 @@ def proximity_matches(index: DataFrame, terms: list[str], distance: int) -> Data
 def hits_by_document(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Of documents with an occurrence: doc2, h2 (their id and the hash of their text), n_hit, n_items, items_sha256, longest
     (words of the longest window)."""
-    windows = stored(windows_of(benchmark, size))
+    items = stored(windows_of(benchmark, size))
+    windows = items.select("wid", "words").dropDuplicates(["wid"])
     counts = stored(term_counts(docs, windows.select(F.explode("words").alias("term")).distinct()))
     windows = stored(anchored(windows, counts))
     anchors = windows.select(F.col("t1").alias("term"), F.lit(True).alias("rarest")).union(windows.select("t2", F.lit(False)))
     anchors = anchors.where(F.col("term").isNotNull()).groupBy("term").agg(F.max("rarest").alias("rarest"))
-    matches = phrase_matches(build_index(docs, anchors, size), windows)
+    matches = stored(phrase_matches(build_index(docs, anchors, size), windows))
     spans = F.transform(F.collect_set(F.struct("start", "n")), lambda s: F.sequence(s["start"], s["start"] + s["n"] - 1))
-    per_doc = matches.groupBy(F.col("doc_id").alias("doc2"), F.col("h").alias("h2")).agg(spans.alias("spans"), F.collect_set("items").alias("items"), F.max("n").alias("longest"))
-    items = F.array_sort(F.array_distinct(F.flatten("items")))
-    return per_doc.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "longest")
+    per_doc = matches.groupBy(F.col("doc_id").alias("doc2"), F.col("h").alias("h2")).agg(spans.alias("spans"), F.max("n").alias("longest"))
+    # documents and windows first: an item's ids meet a document once for each window, not for each occurrence
+    by_window = matches.groupBy(F.col("doc_id").alias("doc3"), F.col("h").alias("h3"), "wid").agg(F.lit(1).alias("one"))
+    named = items.where(F.col("item").isNotNull()).select(F.col("wid").alias("of"), "item")
+    found = by_window.join(broadcast_if_small(named), F.col("wid") == F.col("of")).groupBy("doc3", "h3").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = per_doc.join(found, F.expr("doc2 <=> doc3 AND h2 = h3"), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return both.select("doc2", "h2", F.size(F.array_distinct(F.flatten("spans"))).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "longest")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

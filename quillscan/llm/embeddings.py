@@ -257,12 +257,12 @@ def embedding_duplicates(vectors: DataFrame, cosine: float = COSINE, chunk: int
         near += [(by_pivot[ids[a]].cell, by_pivot[ids[b]].cell, by_pivot[ids[b]].chunks) for a in there for b in there if d[a, b] <= by_pivot[ids[a]].radius + by_pivot[ids[b]].radius + reach]
     partners = alone.union(spark.createDataFrame(near, "cell long, partner long, partners int")) if near else alone
 
-    chunked = placed.join(broadcast_if_small(cells.select(F.col("cell").alias("of"), "chunks"), 24), F.col("cell") == F.col("of"))
+    chunked = placed.join(broadcast_if_small(cells.select(F.col("cell").alias("of"), "chunks")), F.col("cell") == F.col("of"))
     chunked = chunked.select(F.xxhash64("cell", part := F.pmod(F.xxhash64("uid", F.lit(7)), F.col("chunks")).cast("int")).alias("chunk"), "uid", "cell", part.alias("part"), "vector")
     planted = chunked.repartition("chunk").sortWithinPartitions("chunk", "uid").mapInArrow(_plant, "chunk long, uid long, cell long, part int, vector array<double>, local int, centres array<int>")
     planted = stored(planted.withColumn("vector", F.col("vector").cast("array<double>")))
 
-    pairs = planted.join(broadcast_if_small(partners.withColumnRenamed("cell", "of"), 24), F.col("cell") == F.col("of"))
+    pairs = planted.join(broadcast_if_small(partners.withColumnRenamed("cell", "of")), F.col("cell") == F.col("of"))
     pairs = pairs.withColumn("other", F.explode(F.transform(F.sequence(F.lit(0), F.col("partners") - 1), lambda k: F.xxhash64("partner", k))))
     side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
     pairs = pairs.select(F.xxhash64(F.least("chunk", "other"), F.greatest("chunk", "other")).alias("task"), side.alias("side"), "uid", "vector", "local", "centres")

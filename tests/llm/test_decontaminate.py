@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+from quillscan import session
 from quillscan.llm import decontaminate as D
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -57,6 +58,17 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, got), key=str) == brute(DOCS, BENCH)
 
 
+def test_beyond_every_broadcast_the_result_is_the_same(spark, monkeypatch):
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 1)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = D.contamination(spark.createDataFrame(DOCS, "doc_id long, text string").repartition(3), spark.createDataFrame(BENCH, "item_id long, text string")).drop("h").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(tuple, got), key=str) == brute(DOCS, BENCH)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame(DOCS[:3], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
