@@ -26,8 +26,11 @@ from quillscan.llm.kernels import sorted_groups
 from quillscan.session import broadcast_if_small, stored
 
 COSINE = 0.93
-#: Vectors of a chunk: a task holds two, and matrices of their distances.
-CHUNK = 2048
+#: Vectors of a chunk: a task holds two. Each vector goes to as many tasks as there are chunks near it, so larger chunks are
+#: copied less often.
+CHUNK = 4096
+#: Vectors whose distances to others are in memory at once.
+TILE = 1024
 #: Pivots altogether; labels of over CHUNK vectors share them by their sizes.
 PIVOTS = 1024
 #: Covering radii of the tree's levels, for unit vectors; a root covers all.
@@ -114,16 +117,22 @@ def dual_links(xa: np.ndarray, ta: _Tree, xb: np.ndarray, tb: _Tree, raw_a: np.n
     if mask is not None:
         alive_a = np.flatnonzero(mask.any(axis=1)[last_a])
         alive_b = np.flatnonzero(mask.any(axis=0)[last_b])
-    g = raw_a[alive_a] @ raw_b[alive_b].T
-    g /= np.sqrt((raw_a[alive_a] ** 2).sum(axis=1))[:, None] * np.sqrt((raw_b[alive_b] ** 2).sum(axis=1))[None, :]
-    if mask is not None:
-        g[~mask[np.ix_(last_a[alive_a], last_b[alive_b])]] = -2.0
-    i, j = np.nonzero(g >= cosine - 1e-12)
-    close = np.flatnonzero(g[i, j] < cosine + 1e-12)  # rounding could decide: in exact sums
-    good = np.ones(len(i), bool)
-    for c in close:
-        good[c] = _exact(raw_a[alive_a[i[c]]], raw_b[alive_b[j[c]]]) >= cosine
-    return alive_a[i[good]], alive_b[j[good]]
+    norm_a, norm_b = (np.sqrt((r**2).sum(axis=1)) for r in (raw_a[alive_a], raw_b[alive_b]))
+    found_a, found_b = [], []
+    for k in range(0, len(alive_a), TILE):
+        rows = alive_a[k : k + TILE]
+        g = raw_a[rows] @ raw_b[alive_b].T
+        g /= norm_a[k : k + TILE, None] * norm_b[None, :]
+        if mask is not None:
+            g[~mask[np.ix_(last_a[rows], last_b[alive_b])]] = -2.0
+        i, j = np.nonzero(g >= cosine - 1e-12)
+        good = np.ones(len(i), bool)
+        for c in np.flatnonzero(g[i, j] < cosine + 1e-12):  # rounding could decide: in exact sums
+            good[c] = _exact(raw_a[rows[i[c]]], raw_b[alive_b[j[c]]]) >= cosine
+        found_a.append(rows[i[good]])
+        found_b.append(alive_b[j[good]])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
