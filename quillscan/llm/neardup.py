@@ -7,8 +7,12 @@ so a long text costs little more than one hash per shingle. Two sets agree in a
 weighted Jaccard similarity. Bands of R coordinates make buckets; what shares a bucket is a candidate.
 
 Buckets are never expanded into all pairs. Each member is first compared with its bucket's smallest member. Where that
-leaves a bucket in several components, its members are compared inside tasks (in pairs of blocks, so that a large
-bucket is dealt to many), only across components, and a task passes on a spanning forest of the links it finds. Every comparison that decides is exact.
+leaves a bucket in several components, its members are compared inside tasks, only across components, and a task passes on
+a spanning forest of the links it finds. Of a large bucket, what isn't of the main component is compared with each block of
+it, and with its own kind in pairs of blocks: the work grows with the bucket times what the first comparison left over.
+Every comparison that decides is exact.
+
+A text is known by 64 bits of its hash. Texts of one such hash that a second hash and their sizes tell apart are told apart.
 """
 
 from __future__ import annotations
@@ -17,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillscan.llm.components import components
 from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, shingle_cells, sorted_groups, uniform
-from quillscan.session import fresh, stored
+from quillscan.session import broadcast_if_small, fresh, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 20 bands of 4: a pair at 0.8 shares no bucket with probability 3e-5, one at 0.9 with 2e-9.
@@ -160,9 +164,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", common.alias("common"), F.size("cells_a").alias("na"), F.size("cells_b").alias("nb")).where(f"common >= {SIMILARITY} * (na + nb - common) - 1e-9 AND common > 0").select("a", "b")
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (doc_id, node: 64 bits of the text) of all rows, and (node, label): components of near copies by node."""
-    nodes = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
+def links(docs: DataFrame) -> DataFrame:
+    """(node: 64 bits of a text, label): components of near copies."""
+    nodes = docs.select("doc_id", _node(docs).alias("node"), "text")
     # copies sign alike, and what groups them below counts each node once: no text moves here
     signed = nodes.select("node", "text").mapInArrow(_sign, "node long, bands array<long>")
     members = stored(signed.select("node", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node").distinct())
@@ -178,10 +182,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # buckets that still hold several components
     placed = stored(shared.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("bucket", "node", F.coalesce("label", "node").alias("label")))
-    open_ = placed.groupBy(F.col("bucket").alias("of")).agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high AND n > 2")
-    open_ = placed.join(open_, F.col("bucket") == F.col("of")).select("bucket", "node", "label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    open_ = stored(open_.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")))
-    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    by_label = placed.groupBy(F.col("bucket").alias("of"), "label").agg(F.count("*").alias("mine"))
+    keys = by_label.groupBy("of").agg(F.sum("mine").alias("n"), F.max(F.struct("mine", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1 AND n > 2")
+    few = F.col("n") <= BLOCK
+    main = ~few & (F.col("label") == F.col("most.label"))
+    rest, parts = F.when(few, 1).otherwise(F.ceil((F.col("n") - F.col("most.mine")) / BLOCK)).cast("int"), F.when(few, 0).otherwise(F.ceil(F.col("most.mine") / BLOCK)).cast("int")
+    open_ = placed.join(keys, F.col("bucket") == F.col("of")).select("bucket", "node", "label", main.alias("main"), rest.alias("rest"), parts.alias("parts"))
+    # blocks of the rest come first, then those of the main component, which aren't compared with each other
+    h = F.xxhash64("node", F.lit(1))
+    open_ = stored(open_.withColumn("mine", F.when(F.col("main"), F.col("rest") + F.pmod(h, F.greatest("parts", F.lit(1)))).otherwise(F.pmod(h, F.col("rest"))).cast("int")))
+    dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") - 1 + F.when(F.col("main"), 0).otherwise(F.col("parts")))))
     side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
     dealt = dealt.select(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")).alias("block"), side.alias("side"), "node", "label")
     wanted = open_.select(F.col("node").alias("want")).distinct()
@@ -190,7 +200,26 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     more = stored(dealt.repartition("block").sortWithinPartitions("block").mapInArrow(_compare, "a long, b long").distinct())
     if more.limit(1).count():
         labels = components(edges.union(more))
-    return nodes.select("doc_id", "node"), labels
+    return labels
+
+
+def _node(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, node, label) of all rows of ``docs``: rows of one label are near copies.
+
+    Where texts of one node have several checks (a second hash and their sizes), those with other than the smallest stand
+    alone.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    check = F.xxhash64(F.hash(text), F.octet_length(text))
+    nodes = docs.select("doc_id", _node(docs).alias("node"), check.alias("check"))
+    clashes = stored(nodes.groupBy(F.col("node").alias("clash")).agg(F.min("check").alias("least"), F.max("check").alias("most")).where("least < most").select("clash", "least"))
+    labels = links(docs).withColumnRenamed("node", "of")
+    joined = nodes.join(broadcast_if_small(clashes), F.col("node") == F.col("clash"), "left").join(labels, F.col("node") == F.col("of"), "left")
+    return joined.select("doc_id", "node", F.when(F.col("check") > F.col("least"), F.xxhash64("node", "check")).otherwise(F.coalesce("label", "node")).alias("label"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -201,21 +230,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts without words are of one class only if equal. Rows with a null doc_id count, but don't give a class its id
     unless all are null. kept: doc_id is class_id (null: true). Repeated rows are returned as often as they occur.
     """
-    nodes, labels = links(docs)
-    placed = stored(nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", F.coalesce("label", "node").alias("label")))
+    placed = stored(labelled(docs).select("doc_id", "label"))
     classes = stored(placed.groupBy(F.col("label").alias("of")).agg(F.min("doc_id").alias("class_id")))
     return placed.join(classes, F.col("label") == F.col("of")).select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest doc_id (null ids last; of repeated rows any one)."""
-    nodes, labels = links(docs)
-    placed = nodes.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    rows = placed.groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
+    rows = labelled(docs).groupBy("label", "doc_id", "node").agg(F.count("*").alias("n"))
     best = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "n")).alias("best")).select("best.doc_id", "best.node", "best.n")
     of, node, n = (fresh(x, docs.columns) for x in ("best_id", "best_node", "best_n"))
     best = stored(best.toDF(of, node, n))
-    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    hashed = _node(docs)
 
     def kept(chosen: DataFrame) -> DataFrame:
         return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen[of]) & (hashed == chosen[node]), "left_semi")

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillscan.llm import neardup as N
 from quillscan.llm.kernels import shingle_cells
@@ -75,6 +76,24 @@ def test_classes_equal_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Buckets of more members than a block: the main component in parts, the rest against all of them."""
+    monkeypatch.setattr(N, "BLOCK", 2)
+    rng, base = random.Random(4), [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(base[:at] + [f"x{k}"] + base[at + 1 :])) for k, at in enumerate(rng.choices(range(60), k=24))]  # one word of a text in its place
+    rows += [(100 + k, " ".join(base[: 30 + k] + [f"y{k}z{j}" for j in range(30 - k)])) for k in range(0, 30, 3)]
+    got = sorted(map(tuple, N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == sorted(brute(rows))
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(N, "_node", lambda docs: (F.octet_length("text") * 0).cast("long"))
+    got = {r.doc_id: r.kept for r in N.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "c d e"), (3, "a b")], "doc_id long, text string")).collect()}
+    assert got == {1: True, 2: True, 3: False}
+    kept = N.keep_one(spark.createDataFrame([(1, "a b"), (2, "c d e"), (3, "a b")], "doc_id long, text string"))
+    assert sorted(r.text for r in kept.collect()) == ["a b", "c d e"]
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
