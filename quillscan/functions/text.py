@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -44,8 +45,14 @@ def keyword_pattern(words: Sequence[str]) -> str:
             node = node.setdefault(c, {})
         node[""] = {}
 
+    plain = lambda c: c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
     def pattern(node: dict) -> str:
-        parts = [(c if c.isalnum() else f"\\x{{{ord(c):x}}}") + pattern(node[c]) for c in sorted(node) if c]
+        nexts = sorted(c for c in node if c)
+        parts = [plain(c) + pattern(node[c]) for c in nexts]
+        if len(parts) > 8:  # a choice is tried branch by branch: first of some classes, then within one
+            step = math.isqrt(len(parts))
+            parts = [f"(?=[{''.join(map(plain, nexts[k : k + step]))}])(?:{'|'.join(parts[k : k + step])})" for k in range(0, len(parts), step)]
         return (f"(?:{'|'.join(parts)}){'?' if '' in node else ''}" if len(parts) > 1 or "" in node else parts[0]) if parts else ""
 
     return f"(?=({pattern(tree)}))"
@@ -134,52 +141,63 @@ def location(content: Column, start: Column, end: Column, first_line: Column) ->
     }
 
 
+#: Bytes up to which a match's line is taken from the text's lines; a longer one is cut from the whole text.
+_LONG = 4096
+
+
 def match_places(content: Column, parts: Column, trimmed: Callable[[Column], Column]) -> Column:
     """Of ``parts`` (gap, m: a text cut into gaps and the matches after them, null after the last) the places of the matches:
     structs of m, start, end (of the match without line feeds at its edges, counted from its start), before and upto (line
-    feeds before these places), and below, above, next (places of the last line feed before each, and of the first one from
-    the end on; 0 and the text's size if there is none).
+    feeds before these places), total (all of them), below, above, next (places of the last line feed before each, and of
+    the first one from the end on), line (the line's text) or, if that is long or the last line, text (the whole).
 
-    All are sums over the parts and over the lines, so that a text takes time in proportion to its size and its matches.
+    All are sums over the parts and over the lines, so that a text takes time in proportion to its size and its matches,
+    and no match carries the text but those in long lines.
     """
     feeds = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit("\n")))
     size = lambda x: F.coalesce(F.octet_length(x), F.lit(0))
     ends = running_sum(F.transform(parts, lambda p: F.octet_length(p["gap"]) + size(p["m"])))
-    lines = running_sum(F.transform(parts, lambda p: feeds(p["gap"]) + F.coalesce(feeds(p["m"]), F.lit(0))))
-    # where line feeds stand: each ends a line, but for the last one
-    at = F.transform(running_sum(F.transform(F.split(content, "\n", -1), lambda x: F.octet_length(x) + 1)), lambda x: x - 1)
+    counts = running_sum(F.transform(parts, lambda p: feeds(p["gap"]) + F.coalesce(feeds(p["m"]), F.lit(0))))
 
-    def one(p: Column, i: Column, e: Column, n: Column, a: Column) -> Column:
+    def one(p: Column, i: Column, e: Column, n: Column, x: Column, a: Column) -> Column:
         start, before = F.get(e, i) - size(p["m"]), F.get(n, i) - feeds(p["m"])
         inside = F.substring(p["m"].cast("binary"), F.lit(1), F.octet_length(trimmed(p["m"]))).cast("string")
-        upto = before + feeds(inside)
+        upto, total = before + feeds(inside), F.size(a) - 1
         place = lambda k: F.when(k > 0, F.get(a, k - 1)).otherwise(0)
-        return F.struct(p["m"].alias("m"), start.alias("start"), (start + F.octet_length(inside)).alias("end"), before.alias("before"), upto.alias("upto"), place(before).alias("below"), place(upto).alias("above"), F.get(a, upto).alias("next"))
-
-    placed = let(ends, lambda e: let(lines, lambda n: let(at, lambda a: F.transform(parts, lambda p, i: one(p, i, e, n, a)))))
-    return F.filter(placed, lambda x: x["m"].isNotNull())
-
-
-def match_location(content: Column, whole: Column, place: Column, total: Column, first_line: Column) -> dict[str, Column]:
-    """What ``location`` tells, from ``match_places`` and the number of line feeds in ``content``; only the bytes of the
-    line are looked at."""
-    start, end = place["start"], place["end"]
-    at_start = F.startswith(whole, F.lit("\n"))
+        first = before + F.when(F.startswith(p["m"], F.lit("\n")), 1).otherwise(0)
+        short = (first < total) & (F.get(a, upto) - place(before) <= _LONG)
+        line = F.concat(F.when(first > 0, "\n").otherwise(""), F.array_join(F.slice(x, first + 1, F.greatest(upto - first + 1, F.lit(0))), "\n"))
+        return F.struct(
+            p["m"].alias("m"), start.alias("start"), (start + F.octet_length(inside)).alias("end"), before.alias("before"), upto.alias("upto"), total.alias("total"), place(before).alias("below"),
+            place(upto).alias("above"), F.get(a, upto).alias("next"), F.when(short, line).alias("line"), F.when(~short, content).alias("text"),
+        )
+
+    def placed(e: Column, n: Column, x: Column) -> Column:
+        # where line feeds stand: each ends a line, but for the last one
+        at = F.transform(running_sum(F.transform(x, lambda y: F.octet_length(y) + 1)), lambda y: y - 1)
+        return let(at, lambda a: F.transform(parts, lambda p, i: one(p, i, e, n, x, a)))
+
+    found = let(ends, lambda e: let(counts, lambda n: let(F.split(content, "\n", -1), lambda x: placed(e, n, x))))
+    return F.filter(found, lambda x: x["m"].isNotNull())
+
+
+def match_location(place: Column, first_line: Column) -> dict[str, Column]:
+    """What ``location`` tells, from a struct of ``match_places``."""
+    start, end, total, text = place["start"], place["end"], place["total"], place["text"]
+    at_start = F.startswith(place["m"], F.lit("\n"))
     first = place["before"] + F.when(at_start, 1).otherwise(0)
     none = total == 0
     tail = (first >= total) & ~none
     crossing = ~tail & ~none & (place["upto"] >= total)
     feed = F.when(at_start, start).otherwise(place["below"])
-    raw = content.cast("binary")
-    cut = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
-    rest = F.element_at(F.split(cut(end, F.octet_length(content)), "[\r\n]", 2), 1)
-    line = F.when(tail | none, F.concat(cut(F.lit(0), end), rest)).otherwise(cut(feed, place["next"]))
+    cut = lambda a, b: F.substring(text.cast("binary"), a + 1, b - a).cast("string")
+    rest = F.element_at(F.split(cut(end, F.octet_length(text)), "[\r\n]", 2), 1)
     return {
         "start_line": (first + first_line).cast("int"),
         "end_line": (F.when(none | tail | crossing, first).otherwise(place["upto"]) + first_line).cast("int"),
         "start_column": (start - feed + 1).cast("int"),
         "end_column": F.when(crossing, F.lit(0)).otherwise(end - F.when(tail | none, feed).otherwise(place["above"])).cast("int"),
-        "line": line,
+        "line": F.when(place["line"].isNotNull(), place["line"]).when(tail | none, F.concat(cut(F.lit(0), end), rest)).otherwise(cut(feed, place["next"])),
     }
 
 

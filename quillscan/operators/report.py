@@ -129,12 +129,28 @@ def to_sarif(findings: DataFrame, rules: Iterable[tuple[str, str]], name: str =
     yield "\n]}]}\n"
 
 
+def escaped(text: str) -> str:
+    """``text`` for a terminal: control characters (but for tabs), and those that turn the direction of writing, as escapes."""
+    bad = lambda c: (ord(c) < 32 and c != "\t") or 127 <= ord(c) < 160 or ord(c) in (0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2066, 0x206A))
+    return "".join((f"\\x{ord(c):02x}" if ord(c) < 256 else f"\\u{ord(c):04x}") if bad(c) else c for c in text)
+
+
+def to_console(findings: DataFrame) -> Iterator[str]:
+    """A block of labelled lines for each finding; fields that are empty are left out."""
+    fields = {"Finding": "match", "Secret": "secret", "RuleID": "rule_id", "Entropy": "entropy", "File": "file", "Line": "start_line", "Commit": "commit", "Author": "author", "Email": "email", "Date": "date", "Fingerprint": "fingerprint"}
+    for r in _rows(findings, *(F.col(c) for c in ("match", "entropy", "author", "email", "date", "fingerprint", "tags", "required_findings") if c not in _ORDER)):
+        values = {label: getattr(r, c) for label, c in fields.items()} | {"Tags": " ".join(r.tags or [])}
+        lines = [f"{label + ':':<13}{escaped(f'{v:f}' if label == 'Entropy' else str(v))}\n" for label, v in values.items() if v not in (None, "")]
+        lines += [f"{'Required:':<13}{escaped(h.rule_id)} in line {h.start_line}: {escaped(h.secret)}\n" for h in r.required_findings or []]
+        yield "".join(lines) + "\n"
+
+
 def write_report(findings: DataFrame, kind: str, path: str, rules: Iterable[tuple[str, str]] = (), template: str = "") -> None:
-    """Writes one file by the file system that ``path`` names: kind is json, csv, junit, sarif (which lists ``rules``) or
-    template."""
+    """Writes one file by the file system that ``path`` names: kind is json, csv, junit, console, sarif (which lists
+    ``rules``) or template."""
     from quillscan.operators.template import to_template
 
-    makers = {"json": to_json, "csv": to_csv, "junit": to_junit, "sarif": lambda f: to_sarif(f, rules), "template": lambda f: to_template(f, template)}
+    makers = {"json": to_json, "csv": to_csv, "junit": to_junit, "console": to_console, "sarif": lambda f: to_sarif(f, rules), "template": lambda f: to_template(f, template)}
     if kind not in makers:
         raise ValueError(f"unknown report: {kind}")
     spark = findings.sparkSession

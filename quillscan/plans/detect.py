@@ -129,7 +129,7 @@ def opened(frags: DataFrame, content: list[Rule], options: Options) -> DataFrame
 
 
 def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
-    """Whole matches of every content rule whose gates open: fragment columns, rule_no, start (untrimmed), match (trimmed
+    """Whole matches of every content rule whose gates open: fragment columns but for the content, rule_no, start (untrimmed), match (trimmed
     of line feeds), secret, match_start, match_end, secret_start, secret_end."""
     content = content_rules(rules)
     if allow := [_gate_allows(a) for a in rules.allowlists if a.commits or a.paths]:
@@ -140,8 +140,7 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
     hits = hits.withColumn("pattern", F.get(F.array(*(F.lit(r.java) for r in content)), F.col("rule_no")))
     parts = F.arrays_zip(F.regexp_extract_all("content", F.col("pattern"), F.lit(0)).alias("m"), F.split("content", F.col("pattern"), -1).alias("gap"))
     trimmed = lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", "")
-    feeds = F.octet_length("content") - F.octet_length(F.replace("content", F.lit("\n")))
-    rows = hits.select(*frags.columns, "rule_no", "pattern", feeds.alias("feeds"), F.explode(T.let(parts, lambda p: T.match_places(F.col("content"), p, trimmed))).alias("place"))
+    rows = hits.select(*(c for c in frags.columns if c != "content"), "rule_no", "pattern", F.explode(T.let(parts, lambda p: T.match_places(F.col("content"), p, trimmed))).alias("place"))
     rows = rows.withColumn("whole", F.col("place.m")).withColumn("start", F.col("place.start"))
     rows = rows.withColumn("match", trimmed(F.col("whole")))
     lead = F.octet_length("whole") - F.octet_length(F.regexp_replace("whole", r"\A\n+", ""))
@@ -159,7 +158,7 @@ def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> D
 
 def in_place(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """Matches, and their locations."""
-    return rows, T.match_location(F.col("content"), F.col("whole"), F.col("place"), F.col("feeds"), F.col("start_line"))
+    return rows, T.match_location(F.col("place"), F.col("start_line"))
 
 
 def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), places: Callable[[DataFrame], tuple[DataFrame, dict[str, Column]]] = in_place) -> DataFrame:
@@ -178,7 +177,7 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), p
     rows, located = places(rows)
     for name, column in located.items():
         rows = rows.withColumn({"start_line": "first_line"}.get(name, name), column)
-    rows = rows.drop("start_line", "content", "original", "whole", "place", "feeds").withColumnRenamed("first_line", "start_line")
+    rows = rows.drop("start_line", "original", "whole", "place").withColumnRenamed("first_line", "start_line")
     if options.honor_allow_markers:
         rows = rows.where(~T.has_allow_marker(F.col("line")))
     for a in rules.allowlists:
@@ -192,9 +191,10 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), p
 
 
 def with_required(found: DataFrame, rules: RuleSet) -> DataFrame:
-    """Findings of rules that require others only where each has a helper near enough, in the same fragment; plus
-    required_findings: the helpers. Findings that require nothing have an empty list."""
-    rows = found.withColumn("row", F.struct("rule_id", "match_start", "match_end"))
+    """Findings of rules that require others only where each has a helper near enough, in the same fragment and decode pass
+    (if there are any); plus required_findings: the helpers. Findings that require nothing have an empty list."""
+    passes = [F.col("depth").alias("hd")] if "depth" in found.columns else []
+    rows = found.withColumn("row", F.struct("rule_id", "match_start", "match_end", *(["depth"] if passes else [])))
     needs = [(r, q) for r in rules.rules for q in r.required]
     plain = rows.where(~F.col("rule_id").isin([r.id for r, _ in needs])) if needs else rows
     helper = F.struct("rule_id", "start_line", "start_column", "line", "match", "secret")
@@ -202,8 +202,8 @@ def with_required(found: DataFrame, rules: RuleSet) -> DataFrame:
     for rule in {r.id: r for r, _ in needs}.values():
         mine = rows.where(F.col("rule_id") == rule.id)
         for k, q in enumerate(rule.required):
-            h = rows.where(F.col("rule_id") == q.id).select(F.col("fragment_id").alias("hf"), F.col("start_line").alias("hl"), F.col("start_column").alias("hc"), F.col("match_start").alias("hs"), F.col("match_end").alias("he"), helper.alias("helper"))
-            near = [F.col("fragment_id") == F.col("hf")]
+            h = rows.where(F.col("rule_id") == q.id).select(F.col("fragment_id").alias("hf"), *passes, F.col("start_line").alias("hl"), F.col("start_column").alias("hc"), F.col("match_start").alias("hs"), F.col("match_end").alias("he"), helper.alias("helper"))
+            near = [F.col("fragment_id") == F.col("hf")] + ([F.col("depth") == F.col("hd")] if passes else [])
             if q.relation == "same-candidate":
                 near += [F.col("match_start") == F.col("hs"), F.col("match_end") == F.col("he")]
             elif q.relation == "window":
@@ -212,7 +212,7 @@ def with_required(found: DataFrame, rules: RuleSet) -> DataFrame:
             else:
                 near += [F.abs(F.col("start_line") - F.col("hl")) <= q.lines] if q.lines is not None else []
                 near += [F.abs(F.col("start_column") - F.col("hc")) <= q.columns] if q.columns is not None else []
-            helpers = mine.select("fragment_id", "row", "start_line", "end_line", "start_column", "match_start", "match_end").join(h, _all(near)).groupBy(F.col("fragment_id").alias("of"), F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list("helper")).alias(f"helpers_{k}"))
+            helpers = mine.select("fragment_id", *(["depth"] if passes else []), "row", "start_line", "end_line", "start_column", "match_start", "match_end").join(h, _all(near)).groupBy(F.col("fragment_id").alias("of"), F.col("row").alias("of_row")).agg(F.array_sort(F.collect_list("helper")).alias(f"helpers_{k}"))
             mine = mine.join(helpers, (F.col("fragment_id") == F.col("of")) & (F.col("row") == F.col("of_row"))).drop("of", "of_row")
         joined_helpers = F.concat(*(F.col(f"helpers_{k}") for k in range(len(rule.required))))
         out = out.unionByName(mine.withColumn("required_findings", joined_helpers).select(*out.columns))

@@ -85,6 +85,12 @@ def scan_directory(spark: SparkSession, path: str, rules: RuleSet, options: D.Op
     return scan_table(frags, rules, options, issues=issues, **more)
 
 
+def scan_text(spark: SparkSession, text: str, rules: RuleSet, options: D.Options = D.Options(), **more: object) -> ScanResult:
+    """Scans one text without a file, as from standard input, in chunks."""
+    rows = files.chunked(spark.createDataFrame([("", text.encode())], "file_path string, content binary"))
+    return scan_table(rows.withColumn("fragment_id", F.xxhash64("file_path", "chunk")), rules, options, **more)
+
+
 def scan_git(spark: SparkSession, repo: str, rules: RuleSet, options: D.Options = D.Options(), staged: bool | None = None, **more: object) -> ScanResult:
     """Scans what all commits added; ``staged``: what isn't committed instead (True: what is staged of it)."""
     source = patches.git_history(spark, repo) if staged is None else patches.git_diff(spark, repo, staged)

@@ -44,9 +44,28 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quillscan-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that this process has stored and not yet discarded.
+_made: list[str] = []
+
+
+def discard(spark: SparkSession, first: int = 0, more: tuple[str, ...] = ()) -> int:
+    """Deletes the tables stored since ``stored_so_far`` was ``first``, and the paths ``more``: for a caller that has written
+    whatever was made of them. Returns how many tables are left."""
+    for path in [*_made[first:], *more]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _made[first:]
+    return len(_made)
+
+
+def stored_so_far() -> int:
+    return len(_made)
+
+
 #: Bytes that any row takes in a broadcast table beside its values' own.
 _ROW = 32
 

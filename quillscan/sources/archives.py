@@ -1,5 +1,5 @@
 """Members of archives and compressed files, nested to a depth, in an Arrow kernel. A member's path follows its archive's
-after "!". Formats without a decoder in Python's library are issues."""
+after "!". Formats without a decoder (in Python's library, or zstandard where that is installed) are issues."""
 
 from __future__ import annotations
 
@@ -16,8 +16,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+try:
+    import zstandard
+except ImportError:  # its files are issues then
+    zstandard = None
+
 NAMES = r"(?i)\.(?:zip|jar|war|tar|tgz|tbz2?|txz|gz|bz2|xz|lzma|zz|7z|rar|zst|br|lz4|sz|lz)$"
-_UNSUPPORTED = re.compile(r"(?i)\.(?:7z|rar|zst|br|lz4|sz|lz)$")
+_UNSUPPORTED = re.compile(rf"(?i)\.(?:7z|rar|{'' if zstandard else 'zst|'}br|lz4|sz|lz)$")
 _SUFFIX = re.compile(NAMES)
 MAX_ENTRIES, MAX_MEMBER, MAX_TOTAL = 1_000_000, 256 << 20, 1 << 30
 
@@ -59,6 +64,14 @@ def _entries(name: str, data: bytes) -> Iterator[tuple[str, bytes]]:
             if len(out) > MAX_MEMBER:
                 raise Limit
             yield inner, out
+        elif low.endswith(".zst"):
+            with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True) as f:
+                out = bytearray()
+                while len(out) <= MAX_MEMBER and (block := f.read(1 << 20)):
+                    out += block
+            if len(out) > MAX_MEMBER:
+                raise Limit
+            yield inner, bytes(out)
         else:
             opened = {".gz": gzip.open, "bz2": bz2.open}.get(low[-3:], lzma.open)
             with opened(io.BytesIO(data)) as f:

@@ -123,3 +123,32 @@ def test_decoded_findings_keep_their_places(spark):
 def test_no_rules_and_empty_input(spark):
     assert D.detect(frags(spark, "x"), load("")).collect() == []
     assert D.detect(frags(spark, "x").limit(0), load("[[rules]]\nid = 'a'\nregex = 'x'\n")).collect() == []
+
+
+def test_a_hundred_thousand_matches_of_one_text(spark):
+    """In time linear in the text: each match by sums over parts and lines, not by a look at all that is before it."""
+    n = 100_000
+    text = "".join(f"a{k % 7}\n key={k:08d}\n" for k in range(n))
+    rows = D.candidates(D.fragments(frags(spark, text)), load("[[rules]]\nid = 'k'\nregex = '''key=([0-9]{8})'''\n"))
+    r = rows.selectExpr("count(*) AS n", "max(start_line) AS last", "max(match_end) AS stop", "sum(start_column) AS columns", "max(line) AS line").first()
+    assert (r.n, r.last, r.stop, r.columns, r.line) == (n, 2 * n - 1, len(text) - 1, 3 * n, f"\n key={n - 1:08d}")
+
+
+def test_a_helper_of_another_decode_pass_does_not_count(spark):
+    import base64
+
+    toml = "[[rules]]\nid = 'a'\nregex = 'first=(\\w+)'\nrequired = [{id = 'b'}]\n[[rules]]\nid = 'b'\nregex = 'second=(\\w+)'\nskipReport = true\n"
+    both = base64.b64encode(b"first=one second=two").decode()
+    one = base64.b64encode(b"second=two and more words").decode()
+    got = detect_decoded(frags(spark, f"x {both} y", f"first=one {one} y"), load(toml)).collect()
+    assert [(r.fragment_id, r.decode_depth) for r in got] == [(0, 1)]
+
+
+def test_keywords_in_one_pass_open_the_same_gates(spark):
+    words = ["api", "apikey", "key", "rapidapi", "s.", "sk", "e\u0301t", "a+b", "tokens", "token", "x"]
+    toml = "".join(f"[[rules]]\nid = 'r{k}'\nregex = '''[a-z]'''\nkeywords = ['{w}']\n" for k, w in enumerate(words))
+    texts = ["RapidAPIkey", "no s.k", "sk tokens", "A+B", "e\u0301te", "q", "tokenx", ""]
+    rules = load(toml)
+    got = {(r.fragment_id, r.rule_no) for r in D.opened(D.fragments(frags(spark, *texts)), D.content_rules(rules), D.Options()).collect()}
+    order = [r.keywords[0] for r in D.content_rules(rules)]
+    assert got == {(k, n) for k, t in enumerate(texts) for n, w in enumerate(order) if w in t.lower()}

@@ -116,3 +116,24 @@ def test_entropies(spark):
 
 def test_versions():
     assert T.version_at_least("v8.30.0", "8.30") and not T.version_at_least("8.29.9", "8.30.0") and T.version_at_least("8.30.0+build", "8.30.0")
+
+
+def test_a_text_without_a_file_and_its_console_report(spark):
+    from quillscan.operators.report import escaped, to_console
+    from quillscan.plans.scan import scan_text
+
+    r = scan_text(spark, "a\nkey=AB\x1bCD\n", load("[[rules]]\nid = 'k'\nregex = '''key=([^\\n]+)'''\n"))
+    assert r.complete and [(x.file, x.start_line, x.secret) for x in r.findings.collect()] == [("", 2, "AB\x1bCD")]
+    text = "".join(to_console(r.findings))
+    assert "Secret:      AB\\x1bCD\n" in text and "Line:        2\n" in text and "File:" not in text and "Fingerprint: :k:2\n" in text
+    assert escaped("a\tb\u202ec\x9f") == "a\tb\\u202ec\\x9f"
+
+
+def test_stored_tables_are_discarded(spark, tmp_path):
+    from quillscan import session
+
+    first = session.stored_so_far()
+    df = session.stored(spark.range(3))
+    assert df.count() == 3 and session.stored_so_far() == first + 1
+    assert session.discard(spark, first) == first
+    assert session.stored_so_far() == first

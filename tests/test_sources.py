@@ -140,3 +140,15 @@ def test_windows_of_a_stream(spark, tmp_path):
 def test_binary(spark, data, binary):
     df = spark.createDataFrame([(data,)], "content binary")
     assert df.select(files.is_binary(F.col("content"))).first()[0] is binary
+
+
+def test_zstandard_files_are_opened():
+    import io
+
+    import zstandard
+
+    out = io.BytesIO()
+    with zstandard.ZstdCompressor().stream_writer(out, closefd=False) as f:
+        f.write(b"key = value\n" * 1000)
+    assert list(walk("logs/a.txt.zst", out.getvalue(), 1, [0])) == [("logs/a.txt.zst!a.txt", b"key = value\n" * 1000, None)]
+    assert list(walk("a.zst", b"damaged", 1, [0])) == [("a.zst", None, "damaged-archive")]
