@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillscan.llm import decontaminate, langid, linededup, neardup, packing
-from quillscan.session import fresh, scratch_dir, table
+from quillscan.session import discard, fresh, scratch_dir, stored_so_far, table
 
 #: Below this posterior a language isn't known; documents of several languages lie far above it.
 MIN_LANGUAGE_SCORE = 0.5
@@ -65,10 +65,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Once a stage is written, what it made on the way and its input are deleted."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    done: tuple[str, ...] = ()
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
+        path, before = f"{folder}/{k}-{name}", stored_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, before, done)
+        done = (path,)
     return docs
