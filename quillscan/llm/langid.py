@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillscan.llm.kernels import buffers, chunks
+from quillscan.llm.kernels import buffers, chunks, frugal
 from quillscan.session import fresh
 
 UND = "und"
@@ -68,6 +68,7 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> It
 def _counter(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """text, lang -> lang, bucket (-1: documents), n, summed over a task's rows."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict[str, int] = {}
         sums = np.zeros((0, 1 << bits), np.int64)
@@ -149,6 +150,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang
     at, names_out = docs.columns.index(text), [*docs.columns, pred, score]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:

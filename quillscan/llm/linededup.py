@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillscan.llm.components import components
-from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, powers, sorted_groups
+from quillscan.llm.kernels import U, buffers, chunks, frugal, list_array, mix, powers, sorted_groups
 from quillscan.session import fresh, stored
 
 #: Leading tokens of the tree's path; the share of equal tokens of a template's lines; documents from which it recurs.
@@ -91,6 +91,7 @@ def line_keys(first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return line.view(np.int64), leaf.view(np.int64)
 
 
+@frugal
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, h, text -> doc_id, h, at, line, leaf and words (16 bits of each token's hash) of the lines of at least
     ``MIN_TOKENS`` tokens."""
@@ -107,6 +108,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "at", "line", "leaf", "words"])
 
 
+@frugal
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """line, text (of the line alone) -> line, words (64 bits of each token's hash)."""
     for batch in batches:
@@ -152,6 +154,7 @@ def template_links(shared: DataFrame, exact: DataFrame) -> DataFrame:
     return both.where((F.size("words_a") == F.size("words_b")) & (agree >= SAME * F.size("words_a") - 1e-9)).select("a", "b")
 
 
+@frugal
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (block, line, label, words), sorted by block, some ``BLOCK`` of one label and as many others at most -> links
     (a, b) across labels, as a forest."""
@@ -178,6 +181,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
+@frugal
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """key, line, label, path, words -> key, line, label, path of the blocks into which the key's other places are cut.
 
@@ -214,6 +218,7 @@ def open_places(n: int, path: list[int]) -> tuple[np.ndarray, int]:
     return free, differ
 
 
+@frugal
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """line, words (array<long>) -> of, words (eight bytes each)."""
     for batch in batches:

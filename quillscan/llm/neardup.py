@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillscan.llm.components import components
-from quillscan.llm.kernels import U, buffers, chunks, list_array, mix, shingle_cells, sorted_groups, uniform
+from quillscan.llm.kernels import U, buffers, chunks, frugal, list_array, mix, shingle_cells, sorted_groups, uniform
 from quillscan.session import broadcast_if_small, fresh, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -75,6 +75,7 @@ def dart_signatures(cells: np.ndarray, rows: np.ndarray, n: int, k: int = K) ->
     return out
 
 
+@frugal
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text -> node, bands; texts without words are left out."""
     for batch in batches:
@@ -92,6 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good + i)), list_array(band.reshape(-1), np.full(len(good), BANDS), pa.int64())], ["node", "bands"])
 
 
+@frugal
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = buffers(batch.column(1))
@@ -100,6 +102,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), list_array(cells, np.bincount(rows, minlength=j - i), pa.int64())], ["node", "cells"])
 
 
+@frugal
 def _sorted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, text -> node, cells (eight bytes each, sorted)."""
     for batch in batches:
@@ -110,6 +113,7 @@ def _sorted_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([np.sort(x).astype("<i8").tobytes() for x in np.split(cells, cuts)], pa.binary())], ["node", "cells"])
 
 
+@frugal
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (block, side, node, label, cells), sorted by block -> links (a, b) across labels, as a forest.
 

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quillscan.llm import tokens
-from quillscan.llm.kernels import buffers, chunks
+from quillscan.llm.kernels import buffers, chunks, frugal
 
 WINDOW, END_ID = 2048, 1
 #: Tokens of a shard, beyond which the next begins: the memory of a task, some 40 bytes a token.
 SHARD_TOKENS = 1 << 21
+#: Bytes of text that are encoded at once; temporaries are some 60 times as large.
+ENCODE_BYTES = 1 << 18
 #: BM25, and how many of a seed's terms (those with the highest weights) are looked up.
 K1, B, QUERY_TERMS = 1.2, 0.75, 24
 
@@ -33,15 +35,27 @@ class Bm25:
     def __init__(self, docs: list[np.ndarray]) -> None:
         self.n = len(docs)
         lengths = np.array([len(d) for d in docs], np.int64)
-        _, term = np.unique(np.concatenate(docs), return_inverse=True)
-        key, tf = np.unique(term * self.n + np.repeat(np.arange(self.n), lengths), return_counts=True)
-        terms, self.doc = key // self.n, key % self.n
-        self.begin = np.searchsorted(terms, np.arange(int(term.max()) + 2 if len(term) else 1))
+        h = np.concatenate(docs)
+        order = np.argsort(h, kind="stable")  # by term, then by document
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        del h
+        rank = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        term = np.empty(len(rank), np.int32)
+        term[order] = rank
+        self.terms_of = np.split(term, np.cumsum(lengths)[:-1])
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), lengths)[order]
+        new[1:] |= doc[1:] != doc[:-1]
+        at = np.flatnonzero(new)
+        del order, new
+        terms, self.doc, tf = rank[at], doc[at], np.diff(at, append=len(rank))
+        self.begin = np.searchsorted(terms, np.arange(int(rank[-1]) + 2 if len(rank) else 1))
+        del rank, doc, at
         df = np.diff(self.begin)
         self.idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths[self.doc] / max(1.0, lengths.mean()))
         self.weight = self.idf[terms] * tf * (K1 + 1) / (tf + norm)
-        self.terms_of = np.split(term, np.cumsum(lengths)[:-1])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with the seed, best first (of equals the first)."""
@@ -133,6 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
     ``tokenizer_path``: the vocabulary file, by default that of the installed package, found on each worker.
     """
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -166,7 +181,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         for batch in batches:
             kind = batch.schema.field(0).type
             data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, ENCODE_BYTES):
                 part = batch.column(0).slice(i, j - i).to_pylist()
                 ids, at, terms, terms_at = coder.encode_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 for k, doc_id in enumerate(part):

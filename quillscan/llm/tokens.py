@@ -16,8 +16,9 @@ import numpy as np
 
 from quillscan.llm.kernels import U, mix, powers
 
-#: Pieces that the table keeps before it begins anew (some 40 bytes each); a row with a longer piece isn't cut here.
-_MOST, _LONGEST = 2_000_000, 1024
+#: Pieces, and ids of them all, that the table keeps before it begins anew (some 20 bytes and 4 bytes each); a row with a
+#: longer piece isn't cut here.
+_MOST, _MOST_IDS, _LONGEST = 2_000_000, 8_000_000, 1024
 _TOP, _TABLE = 0x250, 0x10000
 _SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
 
@@ -60,9 +61,9 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes, self.slot = np.zeros(0, U), np.zeros(0, np.int64)  # known pieces in order of their hashes
+        self.hashes, self.slot = np.zeros(0, U), np.zeros(0, np.int32)  # known pieces in order of their hashes
         self.ids, self.used, self.n = np.zeros(1 << 18, np.uint32), 0, 0
-        self.begin, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.begin, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -84,14 +85,14 @@ class WordTokenizer:
         self.begin[k : k + len(found)] = self.used + np.cumsum(lengths) - lengths
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.slot = np.insert(self.slot, at, np.arange(k, k + len(found)))
+        self.slot = np.insert(self.slot, at, np.arange(k, k + len(found), dtype=np.int32))
         self.used += size
         self.n += len(found)
 
     def encode_rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of UTF-8 rows (see ``kernels.buffers``): all ids, where each row's begin (with the end as last); and a number
         for each piece, for retrieval, with the rows' places likewise (of all rows, also those that go to the tokenizer whole)."""
-        if self.n > _MOST:
+        if self.n > _MOST or self.used > _MOST_IDS:
             self._clear()
         rows = len(offsets) - 1
         at = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -136,7 +137,7 @@ class WordTokenizer:
             self._learn(distinct[new], [text[4 * start[k] : 4 * end[k]].decode("utf-32-le") for k in first[new]])
         which = self.slot[np.searchsorted(self.hashes, distinct)][back] if len(distinct) else np.zeros(0, np.int64)
 
-        size = self.length[which]
+        size = self.length[which].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.begin[which] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         pieces_at = np.searchsorted(row, np.arange(rows + 1))

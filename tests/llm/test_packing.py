@@ -1,5 +1,9 @@
 """Packing against a round trip through the tokenizer itself."""
 
+import os
+import pathlib
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -88,3 +92,51 @@ def test_every_document_has_terms_whatever_its_letters():
     index = packing.Bm25([terms[a:b] for a, b in zip(at, at[1:])])
     unused = np.arange(len(texts)) != 2
     assert index.neighbours(2, unused).tolist() == [3]
+
+
+MEMORY = """
+import re, sys, threading, time
+import numpy as np, pyarrow as pa
+from pyspark import TaskContext
+from quillscan.llm import packing
+
+TaskContext.get = staticmethod(lambda: type("T", (), {"partitionId": staticmethod(lambda: 0)}))
+column = type("C", (), {"dataType": type("K", (), {"simpleString": staticmethod(lambda: "bigint")})})
+docs = type("D", (), {"schema": {"doc_id": column}, "select": lambda s, *a: s, "mapInArrow": lambda s, run, kind: run})()
+run = packing.pack(docs)
+rng = np.random.default_rng(3)
+words = np.array(["".join(rng.choice(list("abcdefghijklmnoprstuvw"), 6)) for _ in range(60000)])
+batch = pa.record_batch([pa.array(range(5000)), pa.array([" ".join(rng.choice(words, 400)) for _ in range(5000)])], ["doc_id", "text"])
+held = lambda: sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+most, ended = [0], []
+
+
+def watch():
+    while not ended:
+        most[0] = max(most[0], held())
+        time.sleep(0.005)
+
+
+before = held()
+threading.Thread(target=watch, daemon=True).start()
+tokens = sum(sum(x.column(2).to_pylist()) for x in run(iter([batch])))
+ended.append(1)
+print(tokens, most[0] - before, held() - before)
+"""
+
+
+def test_a_task_takes_and_keeps_little_memory():
+    root = pathlib.Path(packing.__file__).parents[2]
+    out = subprocess.run([sys.executable, "-c", MEMORY], capture_output=True, text=True, check=True, cwd=root, env=os.environ | {"PYTHONPATH": str(root)}).stdout
+    n, most, kept = map(float, out.split())
+    assert n > packing.SHARD_TOKENS
+    assert most < 95 and kept < 15  # MB; it was 112 and 31 or more
+
+
+def test_long_pieces_do_not_grow_the_table_without_bound(monkeypatch):
+    monkeypatch.setattr(tokens, "_MOST_IDS", 1000)
+    coder = tokens.WordTokenizer(PATH)
+    texts = ["".join(chr(97 + (i * k * k + k) % 26) for k in range(900)) for i in range(20)]
+    want = Tokenizer.from_file(PATH)
+    assert all(coder.encode(t).tolist() == want.encode(t, add_special_tokens=False).ids for t in texts)
+    assert coder.used < 1000 + 900
