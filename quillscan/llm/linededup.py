@@ -19,7 +19,7 @@ read again from the texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,13 +37,16 @@ DEPTH, SAME, MIN_DOCS = 3, 0.8, 2
 MIN_TOKENS = DEPTH + 2
 #: Lines that are compared inside one task, all with each other.
 BLOCK = 1024
+#: Words of 64 bits, as a power of two, of the filter for texts to be read again: rows of a broadcast, at most.
+FILTER_WORDS = 18
 _FIELD = U(0xA0761D6478BD642F)
 #: White space, but for U+0085 and U+00A0, which are two bytes.
 _BLANKS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
+def _of_lines(text: Column, make: Callable[[Column], Column]) -> Column:
+    """What ``make`` makes of the text's lines, which are cut once a row, however often a lambda in ``make`` takes one."""
+    return F.get(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "\n", -1)), make), F.lit(0))
 
 
 def line_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,14 +137,24 @@ def shared_blocks(crowd: DataFrame) -> DataFrame:
     return stored(keys.join(leaders, F.col("key") == F.col("of")).select("key", "number", "line", "leader"))
 
 
+def perhaps_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``texts`` (h: a hash) whose h is perhaps among those of ``wanted`` (of_h): all that are, and of the others one in
+    as many as ``wanted`` has hashes to the filter's bits. No text is shuffled."""
+    word = lambda h: F.shiftrightunsigned(h, 64 - FILTER_WORDS)
+    bit = lambda h: f"int(shiftrightunsigned({h}, {58 - FILTER_WORDS}) & 63)"
+    bits = wanted.groupBy(word("of_h").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit('of_h')})")).alias("bits"))
+    return texts.join(F.broadcast(bits), (word("h") == F.col("word")) & F.expr(f"getbit(bits, {bit('h')}) = 1"), "left_semi")
+
+
 def exact_words(docs: DataFrame, places: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, words: 64-bit hashes of its tokens) of the distinct ``lines`` (line), each read again from one of its places."""
     places = places.join(lines.withColumnRenamed("line", "want"), F.col("line") == F.col("want"), "left_semi")
     one = places.groupBy("line").agg(F.min(F.struct("doc_id", "h", "at")).alias("p"))
     one = stored(one.groupBy(F.col("p.doc_id").alias("of"), F.col("p.h").alias("of_h")).agg(F.collect_list(F.struct("line", "p.at")).alias("wanted")))
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").join(one, F.expr("doc_id <=> of AND h = of_h"))
-    lines = _lines(F.col("text"))
-    found = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["at"]).alias("text")))).alias("w"))
+    texts = perhaps_wanted(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text"), one)
+    texts = texts.join(one, F.expr("doc_id <=> of AND h = of_h"))
+    found = _of_lines(F.col("text"), lambda lines: F.transform("wanted", lambda w: F.struct(w["line"].alias("line"), F.get(lines, w["at"]).alias("text"))))
+    found = texts.select(F.explode(found).alias("w"))
     return stored(found.select("w.line", "w.text").mapInArrow(_exact, "line long, words array<long>").dropDuplicates(["line"]))
 
 
@@ -308,10 +321,10 @@ def dedup_lines(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_d
     dropped = recurring(docs).toDF(of, h, drop)
     match = docs["doc_id"].eqNullSafe(dropped[of]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dropped[h])
     joined = docs.join(dropped, match, "left")
-    lines, text = _lines(docs["text"]), docs["text"]
+    text = docs["text"]
     n = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1
     left = F.array_except(F.sequence(F.lit(0), n - 1), dropped[drop])
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    kept = _of_lines(text, lambda lines: F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
         *(F.when(dropped[drop].isNull(), text).otherwise(kept).alias(c) if c == "text" else docs[c] for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(n).cast("long").alias(n_lines),

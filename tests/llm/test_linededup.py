@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 
@@ -138,3 +139,57 @@ def test_large_blocks_are_cut_without_losing_a_pair(spark, monkeypatch):
         rows = [(k, " ".join(x)) for k, x in enumerate(lines)]
         got = sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
         assert got == brute(rows)
+
+
+def test_only_texts_with_wanted_lines_are_shuffled_to_be_read_again(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choices("bcdfghjklmnpqrst", k=9)) for _ in range(2000))) for i in range(300)]
+    rows += [(300, "we met at the old bridge\nother"), (301, "nothing\nwe met at the new bridge"), (None, "we met at the wet bridge")]
+    path = L.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    keyed = path.select("doc_id", L.F.xxhash64("text").alias("h"), "text")
+    places = L.stored(keyed.mapInArrow(L._parse, "doc_id long, h long, at int, line long, leaf long, words array<short>"))
+    wanted = L.stored(places.where("size(words) = 6").select("line").distinct())
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled():
+        bus.waitUntilEmpty()
+        return store.executorList(True).apply(0).totalShuffleWrite()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        at = shuffled()
+        got = L.exact_words(path, places, wanted)
+        assert shuffled() - at < 200_000  # 5.3 MB of text are not
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    line, _, first, h = L.line_tokens(*_utf8([r[1] for r in rows[300:]]))
+    want = {tuple(h[a:b].view(np.int64).tolist()) for a, b in zip(first, first[1:]) if b - a == 6}
+    assert len(want) == 3 and {tuple(r.words) for r in got.collect()} == want
+
+
+def _utf8(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def test_the_filter_of_texts_loses_none(spark, monkeypatch):
+    df = spark.range(20000).select(L.F.xxhash64("id").alias("h"))
+    wanted = df.where("h % 50 = 0 OR h IN (-1, 0)").union(spark.createDataFrame([(h,) for h in (-1, 0, 1, -(2**63), 2**63 - 1)], "h long"))
+    texts = df.union(wanted)
+    for words in (18, 2, 0):
+        monkeypatch.setattr(L, "FILTER_WORDS", words)
+        got = {r.h for r in L.perhaps_wanted(texts, wanted.withColumnRenamed("h", "of_h")).collect()}
+        assert {r.h for r in wanted.collect()} <= got
+        assert words < 18 or len(got) < 500
+
+
+def test_a_text_of_many_lines_is_cut_once(spark):
+    n = 40000
+    text = "\n".join(["the same line of six words", *(f"w{chr(97 + k % 26)} x" for k in range(n))])
+    docs = L.stored(spark.createDataFrame([(1, text), (2, "a\n" + text)], "doc_id long, text string"))
+    L.line_dedup(docs.limit(1)).collect()
+    began = time.monotonic()
+    rows = {r.doc_id: r for r in L.line_dedup(docs).collect()}
+    assert rows[1].text == text and rows[2].text == "a\n" + text.split("\n", 1)[1] and rows[2].n_dropped == 1
+    assert time.monotonic() - began < 20  # 40,000 cuts of one text take longer
