@@ -8,6 +8,7 @@ pass decoded, and its place is that of the encoded text in the original.
 from __future__ import annotations
 
 import base64
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +24,7 @@ from quillscan.rules import RuleSet
 #: In the order of precedence: of neighbours that touch, the weaker one gives way.
 ENCODINGS = ("percent", "unicode", "hex", "base64")
 _RUN = re.compile(
-    rb"(?P<percent>[^\s%\"'<>=]*%[0-9A-Fa-f]{2}(?:[^\s\"'<>]*%[0-9A-Fa-f]{2})*)"
+    rb"(?P<percent>[^\s%\"'<>=]*+%[0-9A-Fa-f]{2}(?:[^\s\"'<>]*%[0-9A-Fa-f]{2})*)"
     rb"|(?P<unicode>(?:U\+[0-9A-Fa-f]{4}(?:\s|$)?)+|(?:\\{1,2}u[0-9A-Fa-f]{4})+)"
     rb"|(?P<hex>\b[0-9A-Fa-f]{32,}\b)"
     rb"|(?P<base64>[\w/+-]{16,}={0,2})"
@@ -119,45 +120,60 @@ def decode_pass(data: bytes, segments: list[Segment]) -> tuple[bytes, list[Segme
     return bytes(out), sorted(made, key=lambda s: s.start)
 
 
-_SEGMENT = pa.struct([(n, pa.int32()) for n in ("start", "end", "first", "last", "bits")] + [("fresh", pa.bool_())])
+_PLACES = ("start", "end", "first", "last", "bits")
+_SEGMENT = "array<struct<start:int,end:int,first:int,last:int,bits:int,fresh:boolean>>"
+#: Bytes of text after which a batch of buffers is handed on.
+_BATCH = 16 << 20
 
 
-def decoded_passes(frags: DataFrame, max_depth: int) -> DataFrame:
-    """The decoded buffers of ``frags`` (fragment_id, content): fragment_id, depth, decoded, segments. Depths begin at 1."""
+def with_passes(frags: DataFrame, max_depth: int) -> DataFrame:
+    """``frags`` (content, without nulls, and other columns) and, after each, its decoded buffers: rows with the fragment's columns
+    and depth (0: the fragment itself), decoded and segments (null there). The text is read once and nothing is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
+            of: list[int] = []
+            depths: list[int] = []
+            buffers: list[str | None] = []
+            found: list[list[Segment] | None] = []
             size = 0
-            for key, text in zip(batch.column(0), batch.column(1)):
-                data, segments = (text.as_py() or "").encode(), []
+            for k, text in enumerate(batch.column("content")):
+                original = text.as_py().encode()
+                of.append(k), depths.append(0), buffers.append(None), found.append(None)
+                size += len(original)
+                data, segments = original, []
                 for depth in range(1, max_depth + 1):
                     data, segments = decode_pass(data, segments)
                     if not segments:
                         break
-                    rows.append((key.as_py(), depth, data.decode("utf-8", "replace"), [vars(s) for s in segments]))
-                    size += len(data)
-                if size > 16 << 20:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        a, b, c, d = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.string()), pa.array(d, pa.list_(_SEGMENT))], ["fragment_id", "depth", "decoded", "segments"])
-
-    schema = "fragment_id long, depth int, decoded string, segments array<struct<start:int,end:int,first:int,last:int,bits:int,fresh:boolean>>"
-    return frags.select("fragment_id", "content").mapInArrow(run, schema)
+                    of.append(k), depths.append(depth), buffers.append(data.decode("utf-8", "replace")), found.append(segments)
+                    size += len(data) + len(original)
+                if size > _BATCH:
+                    yield batch_of(batch, of, depths, buffers, found)
+                    of, depths, buffers, found, size = [], [], [], [], 0
+            if of:
+                yield batch_of(batch, of, depths, buffers, found)
+
+    def batch_of(batch: pa.RecordBatch, of: list[int], depths: list[int], buffers: list[str | None], found: list[list[Segment] | None]) -> pa.RecordBatch:
+        flat = [s for segments in found if segments for s in segments]
+        fields = [pa.array([getattr(s, n) for s in flat], pa.int32()) for n in _PLACES] + [pa.array([s.fresh for s in flat], pa.bool_())]
+        # a list begins where the one before ends; the null ones are told by a null offset
+        ends = list(itertools.accumulate(len(x or ()) for x in found))
+        offsets = pa.array([None if x is None else e - len(x) for x, e in zip(found, ends)] + [len(flat)], pa.int32())
+        segments = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, [*_PLACES, "fresh"]))
+        rows = batch.take(pa.array(of, pa.int32()))
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(depths, pa.int32()), pa.array(buffers, pa.string()), segments], [*rows.schema.names, "depth", "decoded", "segments"])
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frags.schema)
+    return frags.mapInArrow(run, f"{columns}, depth int, decoded string, segments {_SEGMENT}")
 
 
 def _mapped(p: Column, end: bool) -> Column:
     """The original place of a buffer's place: a segment's edge within one, else shifted like the last segment before."""
     inside = (lambda s: (s["start"] < p) & (p <= s["end"])) if end else (lambda s: (s["start"] <= p) & (p < s["end"]))
     hit = F.get(F.filter("segments", inside), F.lit(0))
-    before = F.filter("segments", lambda s: s["end"] <= p)
-    shift = F.coalesce(F.try_element_at(before, F.lit(-1))["last"] - F.try_element_at(before, F.lit(-1))["end"], F.lit(0))
-    return F.coalesce(hit["last" if end else "first"], p + shift)
+    before = F.try_element_at(F.filter("segments", lambda s: s["end"] <= p), F.lit(-1))
+    return F.coalesce(hit["last" if end else "first"], p + T.let(before, lambda s: s["last"] - s["end"]), p)
 
 
 def detect_decoded(df: DataFrame, rules: RuleSet, options: D.Options = D.Options(), max_depth: int = 5) -> DataFrame:
@@ -166,13 +182,14 @@ def detect_decoded(df: DataFrame, rules: RuleSet, options: D.Options = D.Options
     Those of decoded text have tags (how it was encoded, how deep) and no exact ranges. Suppression sees all passes.
     """
     frags = D.fragments(df)
-    extra = {"depth": F.lit(0), "original": F.col("content"), "segments": F.lit(None).cast("array<struct<start:int,end:int,first:int,last:int,bits:int,fresh:boolean>>")}
-    whole = frags.withColumns(extra)
     if max_depth:
-        passes = decoded_passes(frags, max_depth).withColumnRenamed("fragment_id", "of")
-        decoded = frags.join(passes, F.col("fragment_id") == F.col("of")).drop("of")
-        decoded = decoded.withColumn("original", F.col("content")).withColumn("content", F.col("decoded")).select(*whole.columns)
-        whole = whole.unionByName(decoded)
+        # columns that df lacks are the same in all rows: they needn't pass through Python
+        have = [c for c in frags.columns if c in df.columns or c == "content"]
+        passes = with_passes(frags.select(*have), max_depth)
+        whole = passes.select("fragment_id", *D.completed(have), "depth", F.col("content").alias("original"), "segments", "decoded")
+        whole = whole.withColumn("content", F.coalesce("decoded", "content")).drop("decoded")
+    else:
+        whole = frags.withColumns({"depth": F.lit(0), "original": F.col("content"), "segments": F.lit(None).cast(_SEGMENT)})
     found = D.candidates(whole, rules, options, relocated)
     found = D.finished(found, rules, options)
     tags = F.concat(F.filter(F.array(*(F.when(F.col("bits").bitwiseAND(1 << k) > 0, F.lit(f"decoded:{e}")) for k, e in enumerate(ENCODINGS))), lambda x: x.isNotNull()), F.array(F.concat(F.lit("decode-depth:"), F.col("depth").cast("string"))))
@@ -186,10 +203,10 @@ def relocated(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
     """Matches that touch freshly decoded text (or are of no pass), and their locations in the original text."""
     start, end = F.col("start").cast("int"), (F.col("start") + F.octet_length("match")).cast("int")
     touched = F.filter("segments", lambda s: s["fresh"] & (s["start"] <= end) & (start <= s["end"]))
-    rows = rows.withColumn("touched", touched).where((F.col("depth") == 0) | (F.size("touched") > 0))
-    bits = F.aggregate("touched", F.lit(0), lambda acc, s: acc.bitwiseOR(s["bits"]))
-    rows = rows.withColumn("bits", F.coalesce(bits, F.lit(0))).drop("touched")
-    first = F.when(F.col("depth") == 0, start).otherwise(_mapped(start, False))
-    last = F.when(F.col("depth") == 0, end).otherwise(_mapped(end, True))
-    rows = rows.withColumn("first_byte", first).withColumn("last_byte", last).drop("segments")
-    return rows, T.location(F.col("original"), F.col("first_byte"), F.col("last_byte"), F.col("start_line"))
+    plain = F.col("depth") == 0
+    # the encodings of what a match touches; null: nothing
+    bits = T.let(touched, lambda x: F.when(F.size(x) > 0, F.aggregate(x, F.lit(0), lambda acc, s: acc.bitwiseOR(s["bits"]))))
+    places = {"bits": F.when(plain, F.lit(0)).otherwise(bits), "first_byte": F.when(plain, start).otherwise(_mapped(start, False)), "last_byte": F.when(plain, end).otherwise(_mapped(end, True))}
+    rows = D.settled(rows, places).where(F.col("bits").isNotNull()).drop("segments")
+    rows = D.settled(rows, {"at": T.location(F.col("original"), F.col("first_byte"), F.col("last_byte"), F.col("start_line"))})
+    return rows, {name: F.col("at")[name] for name in ("start_line", "end_line", "start_column", "end_column", "line")}

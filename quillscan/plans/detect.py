@@ -33,8 +33,13 @@ class Options:
 
 def fragments(df: DataFrame) -> DataFrame:
     """``df`` with all columns of a fragment: what it lacks is empty (start_line: 0), other columns are dropped."""
+    return df.select(*completed(df.columns), F.col("fragment_id").cast("long"))
+
+
+def completed(have: list[str]) -> list[Column]:
+    """All columns of a fragment but its id: those that a table has of them, without nulls, and defaults."""
     default = lambda c, t: F.lit(0) if t == "int" else F.lit("")
-    return df.select(*(F.coalesce(F.col(c).cast(t), default(c, t)).alias(c) if c in df.columns else default(c, t).cast(t).alias(c) for c, t in FRAGMENT.items() if c != "fragment_id"), F.col("fragment_id").cast("long"))
+    return [(F.coalesce(F.col(c).cast(t), default(c, t)) if c in have else default(c, t).cast(t)).alias(c) for c, t in FRAGMENT.items() if c != "fragment_id"]
 
 
 def _any(parts: list[Column]) -> Column:
@@ -45,6 +50,12 @@ def _all(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, parts)
 
 
+def settled(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """``rows`` with more columns, computed once for a row: no filter or projection on them repeats what they are made of."""
+    made = F.explode(F.array(F.struct(*(c.alias(name) for name, c in values.items())))).alias("_settled")
+    return rows.select("*", made).select(*rows.columns, *(F.col("_settled")[name].alias(name) for name in values))
+
+
 def _gate_allows(a: Allowlist) -> Column:
     """Whether an allowlist's commits or paths pass over a whole fragment."""
     commit = F.lower(F.trim("commit")).isin(list(a.commits)) if a.commits else None
@@ -104,8 +115,28 @@ def _gate(rule: Rule, options: Options, keywords: list[str]) -> Column:
     return _all(parts) if parts else F.lit(True)
 
 
-def _group(k: Column) -> Column:
-    return F.call_function("regexp_extract", F.col("match"), F.col("pattern"), k)
+#: Stands for a match where a text is cut at its matches; a text that has it itself is cut by the pattern, which is compiled anew.
+_CUT = "\ue000"
+
+
+def _secret(rule: Rule, match: Column) -> Column:
+    """The secret of a match of ``rule``: the chosen group, else the first group that isn't empty, else the match."""
+    group = lambda g: F.regexp_extract(match, rule.java, g)
+    if rule.secret_group > 0:
+        return F.when(F.regexp_like(match, F.lit(rule.java)), group(rule.secret_group)).otherwise(match)
+    if not rule.groups:
+        return match
+    return F.coalesce(F.get(F.filter(F.array(*(group(g) for g in range(1, rule.groups + 1))), lambda x: x != ""), F.lit(0)), match)
+
+
+def _parts(rule: Rule) -> Column:
+    """The content cut into gaps and the matches after them (null after the last): gap, m, match (m without line feeds at its
+    edges), secret."""
+    content, pattern = F.col("content"), F.lit(rule.java)
+    gaps = F.when(F.contains("content", F.lit(_CUT)), F.split(content, pattern, -1)).otherwise(F.split(F.regexp_replace(content, pattern, F.lit(_CUT)), _CUT, -1))
+    one = lambda m: T.let(F.trim(m, F.lit("\n")), lambda match: F.struct(m.alias("m"), match.alias("match"), _secret(rule, match).alias("secret")))
+    found = F.transform(F.regexp_extract_all(content, pattern, F.lit(0)), one)
+    return F.zip_with(gaps, found, lambda gap, x: F.struct(gap.alias("gap"), x["m"].alias("m"), x["match"].alias("match"), x["secret"].alias("secret")))
 
 
 def path_findings(frags: DataFrame, rules: RuleSet) -> DataFrame:
@@ -128,32 +159,23 @@ def opened(frags: DataFrame, content: list[Rule], options: Options) -> DataFrame
     return searched.select("fragment_id", F.explode(F.filter(gates, lambda x: x.isNotNull())).alias("rule_no"))
 
 
-def matches(frags: DataFrame, rules: RuleSet, options: Options = Options()) -> DataFrame:
+def matches(frags: DataFrame, rules: RuleSet, options: Options = Options(), located: Callable[[Column, Column], Column] = T.match_places) -> DataFrame:
     """Whole matches of every content rule whose gates open: fragment columns but for the content, rule_no, start (untrimmed), match (trimmed
     of line feeds), secret, match_start, match_end, secret_start, secret_end."""
     content = content_rules(rules)
     if allow := [_gate_allows(a) for a in rules.allowlists if a.commits or a.paths]:
         frags = frags.where(~_named(allow))
     searched, keywords = _searched(frags, content)
-    open_ = F.filter(F.array(*(F.when(_gate(r, options, keywords) & F.col("content").rlike(r.java), F.lit(k)) for k, r in enumerate(content))), lambda x: x.isNotNull())
-    hits = searched.select(*frags.columns, F.explode(open_).alias("rule_no"))
-    hits = hits.withColumn("pattern", F.get(F.array(*(F.lit(r.java) for r in content)), F.col("rule_no")))
-    parts = F.arrays_zip(F.regexp_extract_all("content", F.col("pattern"), F.lit(0)).alias("m"), F.split("content", F.col("pattern"), -1).alias("gap"))
-    trimmed = lambda x: F.regexp_replace(x, r"\A\n+|\n+\z", "")
-    rows = hits.select(*(c for c in frags.columns if c != "content"), "rule_no", "pattern", F.explode(T.let(parts, lambda p: T.match_places(F.col("content"), p, trimmed))).alias("place"))
-    rows = rows.withColumn("whole", F.col("place.m")).withColumn("start", F.col("place.start"))
-    rows = rows.withColumn("match", trimmed(F.col("whole")))
-    lead = F.octet_length("whole") - F.octet_length(F.regexp_replace("whole", r"\A\n+", ""))
+    # each rule's expressions have its pattern as a literal, which is compiled once a task
+    hits = F.array(*(F.when(_gate(r, options, keywords) & F.col("content").rlike(r.java), F.struct(F.lit(k).alias("rule_no"), _parts(r).alias("parts"))) for k, r in enumerate(content)))
+    rows = searched.select(*frags.columns, F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("hit"))
+    rows = rows.select(*(c for c in frags.columns if c != "content"), F.col("hit.rule_no").alias("rule_no"), F.explode(T.let(F.col("hit.parts"), lambda p: located(F.col("content"), p))).alias("place"))
+    rows = rows.withColumn("whole", F.col("place.m")).withColumn("start", F.col("place.start")).withColumn("match", F.col("place.match")).withColumn("secret", F.col("place.secret"))
+    lead = F.octet_length("whole") - F.octet_length(F.ltrim("whole", F.lit("\n")))
     rows = rows.withColumn("match_start", F.col("start") + lead).withColumn("match_end", F.col("start") + lead + F.octet_length("match"))
-    groups, chosen = (F.get(F.array(*(F.lit(v) for v in x)), F.col("rule_no")) for x in ([r.groups for r in content], [r.secret_group for r in content]))
-    again = F.regexp_like("match", F.col("pattern"))
-    first = [F.when(groups >= g, F.nullif(_group(F.lit(g)), F.lit(""))) for g in range(1, max((r.groups for r in content), default=0) + 1)]
-    secret = F.when(~again, F.col("match")).when(chosen > 0, _group(chosen)).otherwise(F.coalesce(*first, F.col("match")))
-    rows = rows.withColumn("secret", secret)
     # where the secret stands first in its match
     offset = F.octet_length(F.call_function("substring_index", F.col("match"), F.col("secret"), F.lit(1)))
-    rows = rows.withColumn("secret_start", F.when(F.length("secret") > 0, F.col("match_start") + offset)).withColumn("secret_end", F.col("secret_start") + F.octet_length("secret"))
-    return rows.drop("pattern")
+    return rows.withColumn("secret_start", F.when(F.length("secret") > 0, F.col("match_start") + offset)).withColumn("secret_end", F.col("secret_start") + F.octet_length("secret"))
 
 
 def in_place(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
@@ -165,8 +187,12 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), p
     """Matches that pass entropy, allow markers and allowlists, with locations; helpers (skip_report) among them."""
     content = content_rules(rules)
     pick = lambda values: F.get(F.array(*(F.lit(v) for v in values)), F.col("rule_no"))
-    rows = matches(frags, rules, options)
-    rows = rows.withColumn("entropy", T.shannon_entropy(F.col("secret"))).where((pick([r.entropy for r in content]) == 0) | (F.col("entropy") > pick([r.entropy for r in content])))
+    rows = matches(frags, rules, options, T.match_places if places is in_place else T.match_starts)
+    entropy = {"entropy": T.shannon_entropy(F.col("secret"))}
+    if any(r.entropy for r in content):
+        rows = settled(rows, entropy).where((pick([r.entropy for r in content]) == 0) | (F.col("entropy") > pick([r.entropy for r in content])))
+    else:  # a query that doesn't return it needn't compute it
+        rows = rows.withColumns(entropy)
     if any(r.byte_entropy for r in content):
         rows = rows.withColumn("bytes_h", T.byte_entropy(F.col("secret")))
         for k, r in enumerate(content):
@@ -175,9 +201,8 @@ def candidates(frags: DataFrame, rules: RuleSet, options: Options = Options(), p
                 rows = rows.where((F.col("rule_no") != k) | (F.col("bytes_h") >= least if kind == "lt" else F.col("bytes_h") > least))
         rows = rows.drop("bytes_h")
     rows, located = places(rows)
-    for name, column in located.items():
-        rows = rows.withColumn({"start_line": "first_line"}.get(name, name), column)
-    rows = rows.drop("start_line", "original", "whole", "place").withColumnRenamed("first_line", "start_line")
+    rows = settled(rows, {{"start_line": "first_line"}.get(name, name): column for name, column in located.items()})
+    rows = rows.drop("start_line", "original", "whole", "place", "at").withColumnRenamed("first_line", "start_line")
     if options.honor_allow_markers:
         rows = rows.where(~T.has_allow_marker(F.col("line")))
     for a in rules.allowlists:

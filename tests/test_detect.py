@@ -152,3 +152,21 @@ def test_keywords_in_one_pass_open_the_same_gates(spark):
     got = {(r.fragment_id, r.rule_no) for r in D.opened(D.fragments(frags(spark, *texts)), D.content_rules(rules), D.Options()).collect()}
     order = [r.keywords[0] for r in D.content_rules(rules)]
     assert got == {(k, n) for k, t in enumerate(texts) for n, w in enumerate(order) if w in t.lower()}
+
+
+def test_decode_passes_read_the_text_once_and_join_nothing(spark):
+    import base64
+
+    df = frags(spark, "one " + base64.b64encode(b"pass=abcdefghijkl yy").decode(), "pass=plain_text_1")
+    found = detect_decoded(df, load("[[rules]]\nid = 'p'\nregex = '''pass=([a-z_0-9]{8,})'''\n"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") == 1
+    assert sorted((r.fragment_id, r.decode_depth) for r in found.collect()) == [(0, 1), (1, 0)]
+
+
+def test_patterns_are_literals_of_the_plan(spark):
+    two = load("[[rules]]\nid = 'a'\nregex = '''\\ba=(x?)([0-9]+)'''\n[[rules]]\nid = 'b'\nregex = '''\\n*b=[0-9]+'''\n")
+    found = D.matches(D.fragments(frags(spark, "xa=1 a=1\n\nb=22", "a=x3 \ue000 a=4")), two)
+    # an index into an array of patterns would be compiled for each row
+    assert "[rule_no" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.fragment_id, r.rule_no, r.match_start, r.match, r.secret) for r in found.collect()) == [(0, 0, 5, "a=1", "1"), (0, 1, 10, "b=22", "b=22"), (1, 0, 0, "a=x3", "x"), (1, 0, 9, "a=4", "4")]
